@@ -24,6 +24,7 @@ GRID_POINTS = 100
 GLOBAL_ROWS = 1_000
 BLOCK_NODES = 2_000_000
 CELLS = 2_000_000
+TABLE_TESTS = 6
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -178,13 +179,18 @@ def partial_dependence(
 
 @dataclass
 class _Leaves:
-    """Leaves of a forest whose paths test the same number of features."""
+    """Leaves of a forest whose paths test the same number of features.
+
+    ``table`` holds the attribution of each tested feature for every pattern of passed
+    tests, where there are few patterns.
+    """
 
     feature: np.ndarray
     low: np.ndarray
     high: np.ndarray
     share: np.ndarray
     value: np.ndarray
+    table: np.ndarray | None = None
 
 
 def _tree_leaves(nodes: pd.DataFrame) -> list[tuple]:
@@ -212,66 +218,94 @@ def _tree_leaves(nodes: pd.DataFrame) -> list[tuple]:
     return leaves
 
 
-def _group_leaves(leaves: list[tuple], trees: int) -> tuple[list[_Leaves], float]:
-    """Leaves by path size, with values divided by the number of trees, and the mean
-    score of the forest."""
-    base = 0.0
-    by_size: dict[int, list] = {}
-    for value, path in leaves:
-        base += value / trees * math.prod(share for _, _, share in path.values())
-        if path:
-            by_size.setdefault(len(path), []).append((value / trees, path))
-    groups = []
-    for members in by_size.values():
-        tests = [list(path.values()) for _, path in members]
-        groups.append(
-            _Leaves(
-                feature=np.array([list(path) for _, path in members]),
-                low=np.array([[t[0] for t in ts] for ts in tests]),
-                high=np.array([[t[1] for t in ts] for ts in tests]),
-                share=np.array([[t[2] for t in ts] for ts in tests]),
-                value=np.array([v for v, _ in members]),
-            )
-        )
-    return groups, base
-
-
-def _add_attributions(out: np.ndarray, rows: np.ndarray, leaves: _Leaves) -> None:
-    """Shapley values of each leaf's game, added to ``out`` (rows x features).
+def _effects(through: np.ndarray, share: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Shapley values (rows x leaves x tests) of each leaf's game.
 
     In that game a known feature lets the row through if its value lies in the interval,
     an unknown one lets ``share`` of it through. The sum over coalitions is read from the
     coefficients of the product of (share + through * y) over the other features.
     """
-    x = rows[:, leaves.feature]
-    through = ((x > leaves.low) & (x <= leaves.high)).astype(float)
-    size = leaves.feature.shape[1]
+    size = share.shape[1]
     weights = [
         math.factorial(k) * math.factorial(size - k - 1) / math.factorial(size)
         for k in range(size)
     ]
+    effects = np.empty(through.shape)
     for j in range(size):
         coefficients = [np.ones(through.shape[:2])]
         for k in range(size):
             if k == j:
                 continue
-            grown = [c * leaves.share[:, k] for c in coefficients]
+            grown = [c * share[:, k] for c in coefficients]
             grown.append(np.zeros(through.shape[:2]))
             for i, c in enumerate(coefficients):
                 grown[i + 1] = grown[i + 1] + c * through[:, :, k]
             coefficients = grown
         total = sum(w * c for w, c in zip(weights, coefficients))
-        effect = (through[:, :, j] - leaves.share[:, j]) * total * leaves.value
-        for f in np.unique(leaves.feature[:, j]):
-            out[:, f] += effect[:, leaves.feature[:, j] == f].sum(axis=1)
+        effects[:, :, j] = (through[:, :, j] - share[:, j]) * total * value
+    return effects
+
+
+def _pattern_table(share: np.ndarray, value: np.ndarray) -> np.ndarray:
+    size = share.shape[1]
+    patterns = (np.arange(2**size)[:, None] >> np.arange(size)) & 1
+    through = np.broadcast_to(patterns[:, None, :], (2**size, *share.shape)).astype(float)
+    return _effects(through, share, value).transpose(1, 0, 2)
+
+
+def _group_leaves(leaves: list[tuple], trees: int) -> tuple[list[_Leaves], float]:
+    """Leaves by path size, with values divided by the number of trees, and the mean
+    score of the forest."""
+    base = 0.0
+    by_size: dict[int, list] = {}
+    for value, path in leaves:
+        base += value / trees * math.prod(share for _, _, share in path.values())
+        if path:
+            by_size.setdefault(len(path), []).append((value / trees, path))
+    groups = []
+    for size, members in by_size.items():
+        tests = [list(path.values()) for _, path in members]
+        group = _Leaves(
+            feature=np.array([list(path) for _, path in members]),
+            low=np.array([[t[0] for t in ts] for ts in tests]),
+            high=np.array([[t[1] for t in ts] for ts in tests]),
+            share=np.array([[t[2] for t in ts] for ts in tests]),
+            value=np.array([v for v, _ in members]),
+        )
+        if size <= TABLE_TESTS:
+            group.table = _pattern_table(group.share, group.value)
+        groups.append(group)
+    return groups, base
+
+
+def _leaf_effects(rows: np.ndarray, leaves: _Leaves) -> np.ndarray:
+    size = leaves.feature.shape[1]
+    passed = []
+    for j in range(size):
+        x = rows[:, leaves.feature[:, j]]
+        passed.append((x > leaves.low[:, j]) & (x <= leaves.high[:, j]))
+    if leaves.table is None:
+        return _effects(np.stack(passed, axis=2).astype(float), leaves.share, leaves.value)
+    pattern = np.zeros(passed[0].shape, dtype=np.int64)
+    for j, bit in enumerate(passed):
+        pattern |= bit.astype(np.int64) << j
+    return leaves.table[np.arange(len(leaves.value)), pattern]
 
 
 def attribute_rows(rows: np.ndarray, groups: list[_Leaves]) -> np.ndarray:
+    """Attributions (rows x features), in pieces of bounded size."""
     out = np.zeros(rows.shape)
     for leaves in groups:
         step = max(1, CELLS // leaves.feature.size)
+        owners = [
+            np.equal.outer(leaves.feature[:, j], np.arange(rows.shape[1])).astype(float)
+            for j in range(leaves.feature.shape[1])
+        ]
         for start in range(0, len(rows), step):
-            _add_attributions(out[start : start + step], rows[start : start + step], leaves)
+            piece = slice(start, start + step)
+            effects = _leaf_effects(rows[piece], leaves)
+            for j, owner in enumerate(owners):
+                out[piece] += effects[:, :, j] @ owner
     return out
 
 

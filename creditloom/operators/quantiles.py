@@ -22,6 +22,7 @@ FINAL_VALUES = 1_000
 class _Segment:
     """Closed interval known to hold the value of ``rank`` (0-based)."""
 
+    name: str
     expr: Column
     rank: int
     low: float
@@ -52,17 +53,33 @@ def _one_row(df: DataFrame, exprs: list[Column]) -> list:
     return list(df.agg(*[e.alias(f"c{i}") for i, e in enumerate(exprs)]).first())
 
 
-def _narrow(df: DataFrame, segments: list[_Segment]) -> None:
+def _propose(df: DataFrame, segments: list[_Segment]) -> list[tuple[float, float]]:
+    """Two cut values per segment; segments over the same interval share one sketch."""
     step = 2.0 / SKETCH_ACCURACY
+    groups: dict[tuple, list[int]] = {}
+    for i, s in enumerate(segments):
+        groups.setdefault((s.name, s.low, s.high), []).append(i)
     sketches = []
-    for s in segments:
-        share = (s.rank - s.below + 0.5) / s.inside
-        around = [max(0.0, share - step), min(1.0, share + step)]
-        sketches.append(F.percentile_approx(s.values(), around, SKETCH_ACCURACY))
-    cuts = _one_row(df, sketches)
+    for members in groups.values():
+        shares = []
+        for s in (segments[i] for i in members):
+            share = (s.rank - s.below + 0.5) / s.inside
+            shares += [max(0.0, share - step), min(1.0, share + step)]
+        sketches.append(
+            F.percentile_approx(segments[members[0]].values(), shares, SKETCH_ACCURACY)
+        )
+    cuts: list[tuple[float, float]] = [(0.0, 0.0)] * len(segments)
+    for members, values in zip(groups.values(), _one_row(df, sketches)):
+        for k, i in enumerate(members):
+            cuts[i] = (values[2 * k], values[2 * k + 1])
+    return cuts
+
+
+def _narrow(df: DataFrame, segments: list[_Segment]) -> None:
+    cuts = _propose(df, segments)
     counts = []
-    for s, (low, high) in zip(segments, cuts):
-        for value in (low, high):
+    for s, pair in zip(segments, cuts):
+        for value in pair:
             counts.append(F.count_if(s.expr < F.lit(value)))
             counts.append(F.count_if(s.expr <= F.lit(value)))
     found = _one_row(df, counts)
@@ -114,7 +131,7 @@ def order_statistics(
         result[name] = (n, {})
         if n:
             for rank in sorted(set(ranks(n))):
-                segments.append((name, _Segment(exprs[name], rank, low, high, 0, n)))
+                segments.append((name, _Segment(name, exprs[name], rank, low, high, 0, n)))
     while still_open := [s for _, s in segments if s.is_open()]:
         _narrow(df, still_open)
     for (name, s), value in zip(segments, _pick(df, [s for _, s in segments])):

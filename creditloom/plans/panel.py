@@ -1,13 +1,21 @@
 """A company x year panel derived from the star-schema tables.
 
 Customers stand in for companies and order years for fiscal years. Sums are taken in
-DECIMAL, so they do not depend on the order of addition.
+DECIMAL, so they do not depend on the order of addition. The panel is written once per
+application as a table partitioned by year, which the queries then scan with pruned
+columns and years.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from creditloom.functions.columns import col
 from creditloom.operators.joins import lookup_join
+from creditloom.sources.panel_io import write_panel
+from creditloom.staging import staging_path
+
+_tables: dict[tuple[str, str], tuple[str, StructType]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +74,7 @@ def dirty_rating(balance):
     return rating.otherwise(F.lit(None).cast("string"))
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         "o_custkey",
@@ -104,6 +112,17 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tables:
+        rows = build_panel(spark, sf_dir)
+        path = staging_path(spark, "panel")
+        write_panel(rows, path, partition_by=["Year"])
+        _tables[key] = (path, rows.schema)
+    path, schema = _tables[key]
+    return spark.read.schema(schema).parquet(path).select(*[col(name) for name in schema.names])
+
+
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records of a company-year: several rows for one key."""
     return table(spark, sf_dir, "orders").select(

@@ -92,16 +92,12 @@ def hash52(*parts: str) -> str:
     return hash32(*parts).replace("1, 8)", "1, 13)")
 
 
-def two_decimals(x: str) -> str:
-    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), 2) AS DOUBLE)"
-
-
 def fixed2(x: str) -> str:
-    return f"printf('%.2f', {two_decimals(x)})"
+    return f"printf('%.2f', {x})"
 
 
 def thousands2(x: str) -> str:
-    return "format('{:,.2f}', " + two_decimals(x) + ")"
+    return "format('{:,.2f}', " + x + ")"
 
 
 def metric_text(name: str, x: str) -> str:
