@@ -127,13 +127,15 @@ def dependence_grids(
         return [min(max(k, 0), n - 1) for k in around] + [0, n - 1]
 
     found = order_statistics(df, exprs, ranks)
-    for name in features:
+    counts = df.agg(*[F.approx_count_distinct(exprs[f]).alias(f"d{i}") for i, f in enumerate(features)])
+    for name, about in zip(features, counts.first()):
         n, values = found[name]
-        distinct = df.select(exprs[name].alias("x")).dropna().distinct().limit(points)
-        few = sorted(row["x"] for row in distinct.collect())
         if n == 0:
             grids[name] = []
-        elif len(few) < points:
+            continue
+        # Only a column that may have few values is reduced to them.
+        few = _distinct_values(df, exprs[name], points) if about < 2 * points else None
+        if few is not None:
             grids[name] = few
         else:
             low, high = (_plotting_position(values, n, p) for p in span)
@@ -141,6 +143,12 @@ def dependence_grids(
     return grids
 
 
+def _distinct_values(df: DataFrame, x: Column, limit: int) -> list[float] | None:
+    """Sorted distinct values, or None when there are ``limit`` or more of them."""
+    rows = df.select(x.alias("x")).dropna().distinct().limit(limit).collect()
+    return sorted(row["x"] for row in rows) if len(rows) < limit else None
+
+
 def partial_dependence(
     df: DataFrame,
     features: list[str],

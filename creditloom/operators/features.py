@@ -1,12 +1,13 @@
 """Model input: labels, complete features, splits, imputation and scaling."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.catalog import ENTITY, RATING, RATIO_FEATURES, YEAR
 from creditloom.functions.columns import col, ig_label, key_hash, key_hash52, numeric
-from creditloom.operators.quantiles import exact_quantiles
-from creditloom.operators.running import RANGE_ROWS, running_sums
+from creditloom.operators.quantiles import exact_quantiles, order_statistics
 from creditloom.sources.resolve import feature_subset
 
 KEYS = (ENTITY, YEAR)
@@ -56,38 +57,22 @@ def split_80_20(df: DataFrame, keys=KEYS, share: int = 80) -> DataFrame:
 
 
 def split_stratified(
-    df: DataFrame,
-    label: str = "label",
-    keys=KEYS,
-    test_share: float = 0.2,
-    range_rows: int = RANGE_ROWS,
+    df: DataFrame, label: str = "label", keys=KEYS, test_share: float = 0.2
 ) -> DataFrame:
     """Add ``is_train`` such that each label gives its share of rows to the test part.
 
-    Per label the rows with the lowest key hashes are the test part, up to the first
-    hash at which the share is reached. Hashes are counted first and then added up in
-    ranges; the result of that is one number per label.
+    Per label the rows with the lowest key hashes are the test part. The hash at which
+    the share is reached is an exact order statistic, so no row is shuffled. Rows with
+    the same key stay together.
     """
-    hashed = key_hash52(*[col(k) for k in keys])
-    numbered = df.select(col(label).cast("int").alias("y"), hashed.cast("double").alias("h"))
-    counted = numbered.groupBy("h").agg(
-        F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")
-    )
-    summed = running_sums(counted, "h", ["n0", "n1"], descending=False, range_rows=range_rows)
-    limits = summed.agg(
-        F.ceil(F.max("cum_n0") * F.lit(test_share)).alias("k0"),
-        F.ceil(F.max("cum_n1") * F.lit(test_share)).alias("k1"),
-    )
-    need = limits.select(F.struct("k0", "k1").alias("k")).scalar()
-    reached = summed.withColumn("__k", need).agg(
-        F.struct(
-            F.min(F.when(F.col("cum_n0") >= F.col("__k.k0"), F.col("h"))).alias("h0"),
-            F.min(F.when(F.col("cum_n1") >= F.col("__k.k1"), F.col("h"))).alias("h1"),
-        ).alias("t")
-    )
-    marked = df.withColumns({"__t": reached.scalar(), "__h": hashed.cast("double")})
-    limit = F.when(col(label) == 0, F.col("__t.h0")).otherwise(F.col("__t.h1"))
-    return marked.withColumn("is_train", F.col("__h") > limit).drop("__t", "__h")
+    hashed = key_hash52(*[col(k) for k in keys]).cast("double")
+    by_label = {str(v): F.when(col(label) == v, hashed) for v in (0, 1)}
+    found = order_statistics(df, by_label, lambda n: [max(math.ceil(n * test_share) - 1, 0)])
+    in_test = F.lit(False)
+    for value in (0, 1):
+        for limit in found[str(value)][1].values():
+            in_test = in_test | ((col(label) == value) & (hashed <= F.lit(limit)))
+    return df.withColumn("is_train", ~in_test)
 
 
 def fold_number(*keys: Column, folds: int = 3) -> Column:
