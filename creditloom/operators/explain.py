@@ -359,60 +359,68 @@ def _forest_blocks(
         yield _group_leaves(block, trees)
 
 
-def tree_attributions(
-    fitted: Classifier, df: DataFrame, keys=KEYS, features: list[str] | None = None
-) -> DataFrame:
-    """(keys, feature, value, base_value) for every row with finite features.
-
-    The values of a row and the base value add up to the forest's P(IG). The rows stay
-    distributed; each task gets a block of trees and adds up its leaves for its rows.
+def _attributed(
+    fitted: Classifier, df: DataFrame, keys
+) -> tuple[DataFrame, list[Column], float]:
+    """Rows with one value column per feature, those columns as (feature, value) structs,
+    and the base value. Rows with a feature that is not finite are left out.
+
+    Each block of trees adds its leaves to the value columns in a pass over the batches
+    of a task; no row is shuffled, and rows with the same key stay apart.
     """
-    names = features or fitted.features
+    names = fitted.features
     spark = df.sparkSession
-    usable = df.select(
-        *[col(k) for k in keys], *[numeric(df, f).alias(f"x{i}") for i, f in enumerate(names)]
-    )
     inputs = [f"x{i}" for i in range(len(names))]
-    for x in inputs:
-        usable = usable.where(is_finite(F.col(x)))
-    out_names = [f"v{i}" for i in range(len(names))]
-    kinds = {k: usable.schema[k].dataType.simpleString() for k in keys}
-    schema = ", ".join(
-        [f"`{k}` {kinds[k]}" for k in keys] + [f"{v} double" for v in out_names]
+    outputs = [f"v{i}" for i in range(len(names))]
+    rows = df.select(
+        *[col(k) for k in keys],
+        *[numeric(df, f).alias(x) for f, x in zip(names, inputs)],
+        *[F.lit(0.0).alias(v) for v in outputs],
     )
-    parts: DataFrame | None = None
+    for x in inputs:
+        rows = rows.where(is_finite(F.col(x)))
+    schema = rows.schema
     base = 0.0
     for groups, block_base in _forest_blocks(spark, fitted.model.stages[-1]):
         shared = spark.sparkContext.broadcast(groups)
         base += block_base
 
-        def explain(batches, shared=shared):
+        def add_block(batches, shared=shared):
             for batch in batches:
-                values = attribute_rows(batch[inputs].to_numpy(dtype=float), shared.value)
-                result = batch[list(keys)].copy()
-                result[out_names] = values
-                yield result
+                batch[outputs] += attribute_rows(batch[inputs].to_numpy(dtype=float), shared.value)
+                yield batch
 
-        part = usable.mapInPandas(explain, schema)
-        parts = part if parts is None else parts.unionAll(part)
+        rows = rows.mapInPandas(add_block, schema)
     pairs = [
         F.struct(F.lit(f).alias("feature"), F.col(v).alias("value"))
-        for f, v in zip(names, out_names)
+        for f, v in zip(names, outputs)
     ]
-    long = parts.select(*[col(k) for k in keys], F.inline(F.array(*pairs)))
-    summed = long.groupBy(*[col(k) for k in keys], "feature").agg(F.sum("value").alias("value"))
-    return summed.withColumn("base_value", F.lit(base))
+    return rows, pairs, base
 
 
-def explained_sample(df: DataFrame, keys=KEYS, n: int = GLOBAL_ROWS) -> DataFrame:
-    """At most ``n`` rows, the ones with the lowest key hashes."""
-    hashed = key_hash52(*[col(k) for k in keys])
-    return df.orderBy(hashed, *[col(k) for k in keys]).limit(n)
+def tree_attributions(fitted: Classifier, df: DataFrame, keys=KEYS) -> DataFrame:
+    """(keys, feature, value, base_value) for every row with finite features.
+
+    The values of a row and the base value add up to the forest's P(IG).
+    """
+    rows, pairs, base = _attributed(fitted, df, keys)
+    long = rows.select(*[col(k) for k in keys], F.inline(F.array(*pairs)))
+    return long.withColumn("base_value", F.lit(base))
+
+
+def explained_sample(staged: DataFrame, n: int = GLOBAL_ROWS) -> DataFrame:
+    """``n`` random rows of a staged table (all when there are fewer).
+
+    The number of a row is hashed, not its key, so that copies are drawn one by one.
+    """
+    numbered = staged.withColumn("__place", F.monotonically_increasing_id())
+    mixed = F.xxhash64(F.lit(42), "__place")
+    return numbered.orderBy(mixed, "__place").limit(n).drop("__place")
 
 
 def shap_global(fitted: Classifier, keys=KEYS, n: int = GLOBAL_ROWS) -> DataFrame:
     """Mean absolute attribution per feature over a sample of the training rows."""
-    sample = stage(explained_sample(fitted.train, keys, n), "explained").repartition(8)
+    sample = stage(explained_sample(fitted.train, n).repartition(8), "explained")
     values = tree_attributions(fitted, sample, keys)
     return values.groupBy("feature").agg(
         F.avg(F.abs("value")).alias("mean_abs_value"), F.count(F.lit(1)).alias("n_rows")
@@ -431,5 +439,18 @@ def top_attributions(
 
 
 def shap_row(fitted: Classifier, df: DataFrame, keys=KEYS, n: int = 12) -> DataFrame:
-    """The strongest attributions of each company-year of ``df``."""
-    return top_attributions(tree_attributions(fitted, df, keys), n, keys)
+    """The strongest attributions of each row of ``df``, ranked inside the row."""
+    rows, pairs, base = _attributed(fitted, df, keys)
+    ranked = [
+        F.struct((-F.abs(p["value"])).alias("order"), p["feature"].alias("feature"), p["value"].alias("value"))
+        for p in pairs
+    ]
+    strongest = F.slice(F.array_sort(F.array(*ranked)), 1, n)
+    long = rows.select(*[col(k) for k in keys], F.posexplode(strongest).alias("place", "a"))
+    return long.select(
+        *[col(k) for k in keys],
+        F.col("a.feature").alias("feature"),
+        F.col("a.value").alias("value"),
+        F.lit(base).alias("base_value"),
+        (F.col("place") + 1).alias("rank"),
+    )

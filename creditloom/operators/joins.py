@@ -3,13 +3,17 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+# About 32 MB of numbers.
+BROADCAST_CELLS = 4_000_000
 SALTS = 32
 
 
-def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most ``max_rows + 1`` rows; columns other than the keys are pruned away."""
-    return table.limit(max_rows + 1).count() <= max_rows
+def fits_broadcast(table: DataFrame, max_cells: int = BROADCAST_CELLS) -> bool:
+    """Whether rows x columns of ``table`` stay within the bound.
+
+    Only partial counts move, and columns that are not keys are pruned from the count.
+    """
+    return table.count() * len(table.columns) <= max_cells
 
 
 def salted_join(
@@ -31,13 +35,13 @@ def lookup_join(
     table: DataFrame,
     on: list[str],
     how: str = "inner",
-    max_rows: int = BROADCAST_ROWS,
+    max_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
     """Join ``rows`` to a table with few rows per key.
 
     The table is broadcast when a count shows that it is small; else the join is
     shuffled with salted keys. ``how`` is ``inner`` or ``left``.
     """
-    if fits_broadcast(table, max_rows):
+    if fits_broadcast(table, max_cells):
         return rows.join(F.broadcast(table), on, how)
     return salted_join(rows, table, on, how)

@@ -257,3 +257,12 @@ def test_peers(spark):
     assert [r["distance"] for r in found] == pytest.approx([0.0, 1 / spread, 3 / spread])
     assert peers.nearest_peers(df, 9, 2010, ["ROA"]).count() == 0
     assert len(peers.nearest_peers(df, "1", 2010, ["ROA"], n=1).collect()) == 1
+
+
+def test_records_of_one_key_are_explained_apart(forest):
+    twice = forest.holdout.limit(1).withColumn("ROE", F.explode(F.array(F.lit(-2.0), F.lit(2.0))))
+    found = explain.shap_row(forest, twice, n=4)
+    totals = found.groupBy("Company Code", "rank").count()
+    assert {r["count"] for r in totals.collect()} == {2}
+    values = explain.tree_attributions(forest, twice).where("feature = 'ROE'").collect()
+    assert len(values) == 2 and values[0]["value"] != values[1]["value"]

@@ -41,7 +41,7 @@ def test_salted_join_equals_join(skewed, rows_of, how):
     plain = skewed.join(table, "Company Code", how)
     for other in (
         joins.salted_join(skewed.repartition(9), table, ["Company Code"], how, salts=4),
-        joins.lookup_join(skewed, table, ["Company Code"], how, max_rows=3),
+        joins.lookup_join(skewed, table, ["Company Code"], how, max_cells=3),
         joins.lookup_join(skewed, table, ["Company Code"], how),
     ):
         assert rows_of(other) == rows_of(plain)
@@ -50,7 +50,7 @@ def test_salted_join_equals_join(skewed, rows_of, how):
 def test_lookup_join_checks_the_size(skewed):
     table = skewed.groupBy("Company Code").agg(F.avg("ROA").alias("mean"))
     small = joins.lookup_join(skewed, table, ["Company Code"])._jdf.queryExecution().toString()
-    large = joins.lookup_join(skewed, table, ["Company Code"], max_rows=5)
+    large = joins.lookup_join(skewed, table, ["Company Code"], max_cells=5)
     assert "BroadcastHashJoin" in small
     assert "__salt" in large._jdf.queryExecution().toString()
 
