@@ -1,6 +1,6 @@
 """Views per company and year."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -228,13 +228,6 @@ def metric_cards(
     return df.select(*shown)
 
 
-def _metric_text(df: DataFrame, name: str, value: Column) -> Column:
-    text = F.when(value.isNotNull(), format_metric(F.lit(name), value))
-    if isinstance(df.schema[name].dataType, T.StringType):
-        text = F.coalesce(text, col(name))
-    return text
-
-
 def metric_group_long(
     df: DataFrame,
     groups: dict[str, list[str]] = METRIC_GROUPS,
@@ -246,17 +239,20 @@ def metric_group_long(
     rows = []
     for group, names in resolve_all_groups(df.columns, groups, exact_only).items():
         for name in dict.fromkeys(names):
-            value = numeric(df, name)
+            is_text = isinstance(df.schema[name].dataType, T.StringType)
+            raw = col(name) if is_text else F.lit(None).cast("string")
             rows.append(
                 F.struct(
                     F.lit(group).alias("metric_group"),
                     F.lit(name).alias("metric"),
-                    value.alias("value"),
-                    _metric_text(df, name, value).alias("text"),
+                    numeric(df, name).alias("value"),
+                    raw.alias("raw"),
                 )
             )
     long = df.select(col(entity), col(year), F.inline(F.array(*rows)))
-    return long.where(F.col("text").isNotNull())
+    value = F.col("value")
+    text = F.when(value.isNotNull(), format_metric(F.col("metric"), value)).otherwise(F.col("raw"))
+    return long.withColumn("text", text).drop("raw").where(F.col("text").isNotNull())
 
 
 def entity_detail(
@@ -275,4 +271,6 @@ def entity_detail(
         else:
             wanted = F.lit(int(year_value))
         rows = rows.where(col(year) == wanted)
-    return rows.orderBy(col(year).desc())
+    # The partition splits a year with many rows when the rows are ranged for sorting.
+    placed = rows.withColumn("__place", F.spark_partition_id())
+    return placed.orderBy(col(year).desc(), "__place").drop("__place")

@@ -38,13 +38,39 @@ def skewed(spark):
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_join(skewed, rows_of, how):
     table = skewed.where("`Company Code` < 50").groupBy("Company Code").agg(F.avg("ROA").alias("mean"))
-    plain = skewed.join(table, "Company Code", how)
-    for other in (
-        joins.salted_join(skewed.repartition(9), table, ["Company Code"], how, salts=4),
-        joins.lookup_join(skewed, table, ["Company Code"], how, max_cells=3),
-        joins.lookup_join(skewed, table, ["Company Code"], how),
-    ):
-        assert rows_of(other) == rows_of(plain)
+    keyless = skewed.withColumn("Company Code", F.when(F.col("ROA") > 2, F.col("Company Code")))
+    for rows in (skewed, keyless):
+        plain = rows_of(rows.join(table, "Company Code", how))
+        for other in (
+            joins.salted_join(rows.repartition(9), table, ["Company Code"], how, salts=4),
+            joins.salted_join(rows, table, ["Company Code"], how, share=0.1),
+            joins.lookup_join(rows, table, ["Company Code"], how, max_cells=3),
+            joins.lookup_join(rows, table, ["Company Code"], how),
+        ):
+            assert rows_of(other) == plain
+
+
+def test_salted_join_on_two_keys(skewed, rows_of):
+    table = skewed.groupBy("Company Code", "Year").agg(F.count(F.lit(1)).alias("n"))
+    on = ["Company Code", "Year"]
+    assert rows_of(joins.salted_join(skewed, table, on, share=0.1)) == rows_of(skewed.join(table, on))
+
+
+def test_hot_key_is_spread(skewed):
+    assert [tuple(r) for r in joins.hot_keys(skewed, ["Company Code"], 0.1).collect()] == [(1,)]
+    table = skewed.groupBy("Company Code").agg(F.avg("ROA").alias("mean"))
+    rows = skewed.where("`Company Code` = 1").repartition(8)
+    joined = joins.salted_join(rows, table, ["Company Code"], share=0.1, salts=64)
+    joined.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    joined.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = joins.salted_join(rows, table, ["Company Code"], share=0.1, salts=64)
+        tasks = again.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        joined.sparkSession.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        joined.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in tasks) == 1000
+    assert len(tasks) >= 3
 
 
 def test_lookup_join_checks_the_size(skewed):
@@ -144,6 +170,7 @@ def test_rows_stay_on_the_cluster():
     allowed = {
         ("operators/quantiles.py", "collect"): 1,
         ("operators/explain.py", "collect"): 1,
+        ("operators/joins.py", "collect"): 1,
         ("operators/explain.py", "toPandas"): 1,
         ("operators/anomaly.py", "toPandas"): 1,
         ("operators/models.py", "collect"): 1,
