@@ -24,6 +24,9 @@ KEYS = (ENTITY, YEAR)
 MIN_ROWS = 200
 MIN_CLEAN_ROWS = 20
 
+# An iteration over fewer rows than this costs less than the task that does it.
+ROWS_PER_TASK = 25_000
+
 METRICS_SCHEMA = "auc_roc double, average_precision double, accuracy double"
 
 
@@ -38,6 +41,11 @@ def with_inputs(df: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
+def _few_tasks(df: DataFrame, n: int) -> DataFrame:
+    """Merge the partitions of a small iterative input; no effect on a large one."""
+    return df.coalesce(max(1, -(-n // ROWS_PER_TASK)))
+
+
 @dataclass
 class Classifier:
     """A fitted model with the scored rows of its holdout part."""
@@ -77,20 +85,40 @@ def _labelled(df: DataFrame, features: list[str], keys) -> DataFrame:
     return rows.where(F.col("label").isin(0.0, 1.0))
 
 
-def _fit(estimator: Pipeline, parts: DataFrame, features: list[str], keys) -> Classifier | None:
-    """Fit on the rows with ``is_train`` of a staged table and score the others once."""
-    sizes = parts.agg(
-        F.count_if("is_train").alias("train"),
-        F.count_if(~F.col("is_train")).alias("test"),
-        F.count_distinct(F.when(F.col("is_train"), F.col("label"))).alias("classes"),
-    ).first()
-    if sizes["train"] + sizes["test"] < MIN_CLEAN_ROWS or not (sizes["train"] and sizes["test"]):
-        return None
-    if sizes["classes"] < 2:
-        return None
+@dataclass
+class _Sizes:
+    train_pos: int
+    train_neg: int
+    test: int
+
+    @property
+    def train(self) -> int:
+        return self.train_pos + self.train_neg
+
+    def usable(self, least: int) -> bool:
+        """Enough rows, both classes in the training part and a test part."""
+        enough = self.train + self.test >= max(least, MIN_CLEAN_ROWS)
+        return enough and min(self.train_pos, self.train_neg, self.test) > 0
+
+
+def _sizes(parts: DataFrame) -> _Sizes:
+    positive = F.col("label") == 1
+    counts = parts.agg(
+        F.count_if(F.col("is_train") & positive),
+        F.count_if(F.col("is_train") & ~positive),
+        F.count_if(~F.col("is_train")),
+    )
+    return _Sizes(*counts.first())
+
+
+def _fit(
+    estimator: Pipeline, parts: DataFrame, sizes: _Sizes, features: list[str], keys
+) -> Classifier:
+    """Fit on the rows with ``is_train`` and score the others once."""
     train = parts.where("is_train").drop("is_train")
-    fitted = Classifier(estimator.fit(with_inputs(train, features)), features, train, parts)
+    model = estimator.fit(_few_tasks(with_inputs(train, features), sizes.train))
     test = parts.where(~F.col("is_train")).drop("is_train")
+    fitted = Classifier(model, features, train, test)
     kept = [*[col(k) for k in keys], "label", *[col(name) for name in features]]
     fitted.holdout = stage(fitted.predict(test).select(*kept, "p_ig", "prediction"), "holdout")
     return fitted
@@ -103,7 +131,8 @@ def train_lr(
     are too few or hold one class only. ``df`` is the result of ``build_ml``."""
     rows = _labelled(df, features, keys)
     parts = stage(rows.withColumn("is_train", in_train(*[col(k) for k in keys])), "lr")
-    if parts.count() < MIN_ROWS:
+    sizes = _sizes(parts)
+    if not sizes.usable(MIN_ROWS):
         return None
     names = _inputs(features)
     filled = [f"{f}_filled" for f in names]
@@ -112,7 +141,7 @@ def train_lr(
         VectorAssembler(inputCols=filled, outputCol="vector", handleInvalid="keep"),
         LogisticRegression(featuresCol="vector", labelCol="label", maxIter=max_iter),
     ]
-    return _fit(Pipeline(stages=steps), parts, features, keys)
+    return _fit(Pipeline(stages=steps), parts, sizes, features, keys)
 
 
 def train_rf(
@@ -125,15 +154,13 @@ def train_rf(
     seed: int = 42,
 ) -> Classifier | None:
     """Random forest with balanced class weights on a stratified 80 % of the rows."""
-    rows = _labelled(df, features, keys).dropna(subset=features)
-    parts = stage(split_stratified(stage(rows, "rf"), keys=keys), "rf-parts")
-    weights = parts.where("is_train").groupBy("label").count()
-    counts = {row["label"]: row["count"] for row in weights.collect()}
-    if len(counts) < 2:
+    rows = stage(_labelled(df, features, keys).dropna(subset=features), "rf")
+    parts = split_stratified(rows, keys=keys)
+    sizes = _sizes(parts)
+    if not sizes.usable(MIN_CLEAN_ROWS):
         return None
-    total = sum(counts.values())
-    weight = F.when(F.col("label") == 1, total / (2 * counts[1.0])).otherwise(
-        total / (2 * counts[0.0])
+    weight = F.when(F.col("label") == 1, sizes.train / (2 * sizes.train_pos)).otherwise(
+        sizes.train / (2 * sizes.train_neg)
     )
     steps = [
         VectorAssembler(inputCols=_inputs(features), outputCol="vector", handleInvalid="keep"),
@@ -150,7 +177,7 @@ def train_rf(
         ),
     ]
     weighted = parts.withColumn("weight", weight)
-    return _fit(Pipeline(stages=steps), weighted, features, keys)
+    return _fit(Pipeline(stages=steps), weighted, sizes, features, keys)
 
 
 def metrics_or_empty(fitted: Classifier | None, df: DataFrame) -> DataFrame:
@@ -210,7 +237,8 @@ def cv_lr(
     fold = fold_number(*[col(k) for k in keys], folds=folds).alias("fold")
     rows = with_inputs(_labelled(df, features, keys), features)
     names = _inputs(features)
-    lean = stage(rows.select("label", *names, fold), "cv")
+    staged = stage(rows.select("label", *names, fold), "cv")
+    lean = _few_tasks(staged, staged.count())
     if lean.select("label").distinct().count() < 2:
         return df.sparkSession.createDataFrame([], result)
     filled = [f"{f}_filled" for f in names]
@@ -242,12 +270,13 @@ def kmeans_segments(
     """Cluster of every company-year with all ratios."""
     complete = with_inputs(df, features).dropna(subset=_inputs(features))
     lean = stage(complete.select(*[col(c) for c in keys], *_inputs(features)), "kmeans")
+    n = lean.count()
     steps = [
         VectorAssembler(inputCols=_inputs(features), outputCol="vector"),
         StandardScaler(inputCol="vector", outputCol="z", withMean=True, withStd=True),
         KMeans(featuresCol="z", predictionCol="cluster", k=k, seed=seed),
     ]
-    fitted = Pipeline(stages=steps).fit(lean)
+    fitted = Pipeline(stages=steps).fit(_few_tasks(lean, n))
     return fitted.transform(lean).select(*[col(c) for c in keys], "cluster")
 
 

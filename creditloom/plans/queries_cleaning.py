@@ -116,15 +116,16 @@ def synthetic_entity_id(spark, sf_dir):
 
 
 @query(
-    """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN NULL
-       ELSE CAST(year(o_orderdate) AS INT) END AS "Year" FROM orders"""
+    """SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH')
+       THEN CAST(year(o_orderdate) AS INT) END AS "Year" FROM orders"""
 )
 def normalize_year(spark, sf_dir):
+    """Years written as whole numbers, as decimals, with letters, or not at all."""
     orders = table(spark, sf_dir, "orders")
     text = F.year("o_orderdate").cast("string")
-    kind = F.col("o_orderkey") % 4
-    written = F.when(kind == 1, F.concat(F.lit("FY"), text))
-    written = written.when(kind == 2, text).when(kind == 3, F.concat(text, F.lit(".0")))
+    kind = F.col("o_orderpriority")
+    written = F.when(kind == "1-URGENT", text).when(kind == "2-HIGH", F.concat(text, F.lit(".0")))
+    written = written.when(kind == "3-MEDIUM", F.concat(F.lit("FY"), text))
     return orders.select("o_orderkey", year_of(written).alias("Year"))
 
 
@@ -153,17 +154,18 @@ def ig_label(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 4 THEN NULL
+    """SELECT p_partkey, CASE WHEN p_size < 10 THEN NULL WHEN p_size >= 40 THEN NULL
        ELSE CAST(substr(p_brand, 7) AS DOUBLE) END AS x FROM part"""
 )
 def coerce_numeric(spark, sf_dir):
+    """Numbers in words, plain, padded, in scientific form and with a letter behind."""
     part = table(spark, sf_dir, "part")
     digits = F.substring("p_brand", 7, 10)
-    kind = F.col("p_partkey") % 5
-    written = F.when(kind == 0, F.col("p_brand")).when(kind == 1, digits)
-    written = written.when(kind == 2, F.concat(F.lit("\t "), digits, F.lit(" ")))
-    written = written.when(kind == 3, F.concat(digits, F.lit(".0e0")))
-    written = written.when(kind == 4, F.concat(digits, F.lit("d")))
+    size = F.col("p_size")
+    written = F.when(size < 10, F.col("p_brand")).when(size < 20, digits)
+    written = written.when(size < 30, F.concat(F.lit("\t "), digits, F.lit(" ")))
+    written = written.when(size < 40, F.concat(digits, F.lit(".0e0")))
+    written = written.otherwise(F.concat(digits, F.lit("d")))
     return coerce_columns(part.select("p_partkey", written.alias("x")), ["x"])
 
 

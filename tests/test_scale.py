@@ -173,7 +173,6 @@ def test_rows_stay_on_the_cluster():
         ("operators/joins.py", "collect"): 1,
         ("operators/explain.py", "toPandas"): 1,
         ("operators/anomaly.py", "toPandas"): 1,
-        ("operators/models.py", "collect"): 1,
         ("sources/resolve.py", "collect"): 1,
     }
     found = {}
