@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import simhash
+from creditloom.llm import phrases, simhash
 from creditloom.llm.registry import query, table
 
 
@@ -17,3 +17,22 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         digits.alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _kept_words(text: str):
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+@query()
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = phrases.remove_repeats(docs, width=20)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_removed",
+        F.sha2(F.array_join(_kept_words("kept_text"), " "), 256).alias("kept_sha256"),
+    )
