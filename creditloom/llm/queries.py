@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import phrases, simhash
+from creditloom.llm import phrases, simhash, sql, winnow
 from creditloom.llm.registry import query, table
 
 
@@ -36,3 +36,17 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_removed",
         F.sha2(F.array_join(_kept_words("kept_text"), " "), 256).alias("kept_sha256"),
     )
+
+
+@query(sql.OP6)
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = winnow.benchmark_hits(docs, table(spark, sf_dir, "benchmark"), width=13)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        winnow.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
