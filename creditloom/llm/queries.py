@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import phrases, simhash, sql, winnow
+from creditloom.llm import mixing, phrases, repetition, simhash, sql, winnow
 from creditloom.llm.registry import query, table
 
 
@@ -50,3 +50,28 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         winnow.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
+
+
+@query(sql.OP8)
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = repetition.judge_texts(docs, keep_text=False)
+    return judged.select(
+        F.col("row.doc_id").alias("doc_id"), *repetition.STATS[:5], "base_failed", "kept"
+    )
+
+
+@query(sql.OP10)
+def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs)
+    first = F.round(F.get("positions", F.lit(0)), 6)
+    return mixed.select(
+        F.col("id").alias("doc_id"),
+        "size",
+        "source_size",
+        "target",
+        "taken",
+        "copies",
+        first.alias("first_position"),
+    ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")

@@ -32,3 +32,77 @@ SELECT d.doc_id AS doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
        coalesce(hit.n_hit, 0) > 0 AND 20 * coalesce(hit.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
+
+OP8 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+spans AS (
+  SELECT doc_id, k, i, sha256(array_to_string(w[i : i + k - 1], ' ')) AS win
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i
+        FROM d, (VALUES (3), (10), (101)) AS ks(k) WHERE len(w) >= k)),
+again AS (SELECT doc_id, k, i FROM spans QUALIFY count(*) OVER (PARTITION BY doc_id, k, win) > 1),
+covered AS (
+  SELECT doc_id, k, count(DISTINCT p) AS n
+  FROM (SELECT doc_id, k, unnest(range(i, i + k)) AS p FROM again) GROUP BY doc_id, k),
+wide AS (
+  SELECT doc_id, max(n) FILTER (k = 3) AS n3, max(n) FILTER (k = 10) AS n10, max(n) FILTER (k = 101) AS n101
+  FROM covered GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup
+  FROM (SELECT doc_id, unnest(string_split(x, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+base AS (
+  SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n3, 0) AS BIGINT) AS n_repeat_words,
+         coalesce(n10, 0) AS n10, coalesce(n101, 0) AS n101
+  FROM d LEFT JOIN wide ON d.doc_id = wide.doc_id LEFT JOIN lines ON d.doc_id = lines.doc_id),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n10 <= 0.3 * n_words AND n101 = 0 AS kept
+FROM judged
+"""
+
+OP10 = r"""
+WITH d AS (
+  SELECT doc_id, source,
+         CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         CAST(row_number() OVER (ORDER BY source COLLATE C NULLS LAST) - 1 AS BIGINT) AS rk
+  FROM d GROUP BY source),
+w AS (
+  SELECT *, CASE rk % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS bound,
+         CASE rk % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0.0 ELSE 0.5 END AS tilt FROM s),
+o AS (
+  SELECT *, row_number() OVER b AS turn,
+         coalesce(sum(bound) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_words,
+         sum(weight) OVER () - coalesce(sum(weight) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open_weight,
+         sum(source_size) OVER () AS words
+  FROM w WINDOW b AS (ORDER BY CAST(bound AS DOUBLE) / weight, rk)),
+l AS (SELECT *, CAST(words - full_words AS DOUBLE) / CAST(open_weight AS DOUBLE) AS level FROM o),
+f AS (SELECT arg_min(level, turn) AS level FROM l WHERE level * weight <= bound),
+t AS (SELECT l.*, least(CAST(bound AS DOUBLE), f.level * weight) AS target FROM l, f),
+p AS (
+  SELECT doc_id, size, source_size, target, CAST(tilt AS DOUBLE) AS tilt,
+         coalesce(sum(size) OVER (PARTITION BY rk ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
+         CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT *, CAST(passes + CASE WHEN passes < 3 AND ahead + size / 2.0 <= target - passes * source_size THEN 1 ELSE 0 END AS BIGINT) AS copies,
+         CASE WHEN target > 0 THEN least(ahead / target, 1.0) ELSE 0 END AS share
+  FROM p)
+SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies,
+       CASE WHEN copies > 0 THEN
+         round(CASE WHEN (1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 2 * (2 * tilt) * share) > 0
+                    THEN 2 * share / ((1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 2 * (2 * tilt) * share)) ELSE 0 END, 6)
+       END AS first_position
+FROM c
+"""
