@@ -42,7 +42,9 @@ from creditloom.llm.words import (
 PHRASE = 5
 #: Phrases that a task gathers before it sends them on.
 FLUSH = 500_000
-BUCKETS_PER_PARTITION = 4
+#: Buckets of texts per shuffle partition. There is one shard of hashes per partition, since
+#: up to shards x buckets rows go back.
+BUCKETS_PER_PARTITION = 2
 NO_ID = np.iinfo(np.int64).max
 KEYS = "shard int, hashes binary, tags binary"
 
@@ -289,14 +291,14 @@ def remove_repeats(
     ``kept_text``, ``n_words`` and ``n_removed``."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (doc_id, text)]
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = BUCKETS_PER_PARTITION * partitions
+    shards, buckets = partitions, BUCKETS_PER_PARTITION * partitions
     identity = F.col(f"`{doc_id}`")
     row = F.struct(*others) if others else F.struct(F.lit(None).cast("string").alias("none"))
     packed = docs.select(
         row.alias("row"),
         identity.cast("long").alias("id"),
         F.col(f"`{text}`").alias("text"),
-        F.pmod(F.xxhash64(identity), F.lit(shards)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(identity), F.lit(buckets)).cast("int").alias("bucket"),
     )
     kind = packed.schema["row"].dataType.simpleString()
     back = "bucket int, hashes binary"
