@@ -179,17 +179,19 @@ def benchmark_hits(
         .join(by_row.alias("m"), same_row)
         .select("t.id", "t.text_hash", "m.matches", words(F.col("t.text")).alias("words"))
         .withColumn("runs", _runs(F.col("matches")))
-        .where(F.size("runs") > 0)
     )
     covered = F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))
+    # The table is written before it is filtered: a filter on the runs would move below the
+    # words and split the text again for every word that it looks at.
     hits = stage(
         extended.select(
             *key,
             F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
             F.array_distinct(F.transform("runs", lambda r: r["item"])).alias("found"),
-        ).distinct(),
+        ),
         "hits",
     )
+    hits = hits.where("n_hit > 0").distinct()
     named = (
         hits.select(*key, F.explode("found").alias("item"))
         .join(bench.select("item", F.col("item_id").cast("string").alias("name")).distinct(), "item")
