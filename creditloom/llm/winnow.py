@@ -83,7 +83,9 @@ def _around(at: Column, length: int | Column, reach: int) -> list[Column]:
 
 def item_fingerprints(items: DataFrame, width: int, gram: int) -> tuple[DataFrame, DataFrame]:
     """Of distinct items (item, words): kept hashes of the full ones and of the short ones."""
-    full = _kept(items.where(F.size("words") >= width), width, gram)
+    # Written before it is exploded: the filter that Spark infers from an explode would move
+    # below all steps of the hashing and repeat them inside each other.
+    full = stage(_kept(items.where(F.size("words") >= width), width, gram), "item-groups")
     full = full.select("item", "words", F.explode("kept").alias("k"))
     full = full.select(
         "item",
@@ -181,8 +183,7 @@ def benchmark_hits(
         .withColumn("runs", _runs(F.col("matches")))
     )
     covered = F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))
-    # The table is written before it is filtered: a filter on the runs would move below the
-    # words and split the text again for every word that it looks at.
+    # Written before it is filtered, for the same reason as the groups of the items.
     hits = stage(
         extended.select(
             *key,
