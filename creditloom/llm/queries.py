@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import mixing, phrases, repetition, simhash, sql, winnow
+from creditloom.llm import kneser_ney, mixing, phrases, repetition, simhash, sql, winnow
 from creditloom.llm.registry import query, table
 
 
@@ -75,3 +75,20 @@ def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "copies",
         first.alias("first_position"),
     ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
+@query()
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    model = kneser_ney.train(docs.where(~F.col("held_out")))
+    return kneser_ney.score(docs, model).select(
+        "row.doc_id",
+        "row.held_out",
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        "perplexity",
+    )
