@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import kneser_ney, mixing, phrases, repetition, simhash, sql, winnow
+from creditloom.llm import kneser_ney, mixing, phrases, quality, repetition, simhash, sql, winnow
 from creditloom.llm.registry import query, table
 
 
@@ -92,3 +92,16 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         "perplexity",
     )
+
+
+@query()
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"), learn=~held_out)
+    return scored.select("row.doc_id", "score").select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
