@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import kneser_ney, mixing, phrases, quality, repetition, simhash, sql, winnow
+from creditloom.llm import kneser_ney, mixing, phrases, quality, repetition, simhash, sql, suffixes, winnow
 from creditloom.llm.registry import query, table
 
 
@@ -105,3 +105,16 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query()
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.repeated_passages(docs, length=50).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_repeated",
+        (F.col("n_repeated") > 0).alias("repeats"),
+        "spans",
+        F.col("others").alias("other_doc_ids"),
+    )
