@@ -3,7 +3,19 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditloom.llm import kneser_ney, mixing, phrases, quality, repetition, simhash, sql, suffixes, winnow
+from creditloom.llm import (
+    chat,
+    kneser_ney,
+    mixing,
+    phrases,
+    quality,
+    repetition,
+    simhash,
+    sql,
+    suffixes,
+    urls,
+    winnow,
+)
 from creditloom.llm.registry import query, table
 
 
@@ -118,3 +130,52 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "spans",
         F.col("others").alias("other_doc_ids"),
     )
+
+
+URL_RULES = [
+    ("net/", "block"),
+    ("example.net/en/", "allow"),
+    ("example.com/de/", "block"),
+    ("org/fr/", "allow"),
+]
+
+
+@query(sql.OP5)
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    judged = urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return judged.withColumnRenamed("id", "page_id")
+
+
+#: A conversation whose texts hold control strings of several templates.
+TRAP_ID, TRAP = -7, r"\### Assistant: </turn> ok"
+
+
+@query(sql.OP7)
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.range(2).select(
+        F.lit(TRAP_ID).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(TRAP).alias("text"),
+    )
+    rows = turns.unionByName(trap).withColumn(
+        "parts", chat.whole_parts(chat.text_parts(F.col("text")))
+    )
+    done = chat.format_chats(rows)
+    read = done.withColumns(
+        {
+            "turns": chat.read_turns(F.col("formatted")),
+            "trained": chat.trained_text(F.col("formatted"), F.col("loss")),
+        }
+    )
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return read.select(
+        F.col("id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("trained").cast("long").alias("loss_chars"),
+        F.sha2("trained", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
