@@ -140,7 +140,7 @@ def _links_of_large(rows: DataFrame, max_bits: int) -> DataFrame:
         inside = {b for b in range(BITS) if mask >> b & 1}
         wild = set(_segment_of(inside, max_bits)) - inside
         others = sorted(set(range(BITS)) - inside - wild)
-        masks = [_bit_mask(c) for c in combinations(others, max_bits - gone)]
+        masks = [_bit_mask({*c, *wild}) for c in combinations(others, max_bits - gone)]
         keys = F.explode(F.array(*[F.lit(m) for m in masks])).alias("free")
         part = rows.where(F.col("tag") == i).select("tag", "key", "fingerprint", keys)
         found = part if found is None else found.union(part)
