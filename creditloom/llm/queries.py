@@ -16,7 +16,9 @@ from creditloom.llm import (
     urls,
     winnow,
 )
-from creditloom.llm.registry import query, table
+from creditloom.llm.registry import ORACLES, QUERIES, query, table
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 @query()
