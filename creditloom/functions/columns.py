@@ -52,8 +52,9 @@ def is_numeric(df: DataFrame, name: str) -> bool:
 
 
 def normalize_year(x: Column) -> Column:
-    """Year to int: ``2010``, ``'2010'`` and ``'2010.0'`` are 2010, other text is NULL."""
-    return F.nanvl(x.try_cast("double"), null_double()).try_cast("int")
+    """Year to int: ``2010``, ``'2010'`` and ``'2010.0'`` are 2010, other text is NULL
+    (``'2010d'`` too, which a plain cast would take for a number)."""
+    return parse_number(x.cast("string")).try_cast("int")
 
 
 def normalize_rating(x: Column) -> Column:

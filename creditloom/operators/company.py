@@ -17,9 +17,10 @@ from creditloom.catalog import (
 )
 from creditloom.functions.columns import col, is_numeric, numeric, rescale_score
 from creditloom.functions.formatting import fixed2, format_magnitude, format_metric
-from creditloom.operators.filters import entity_rows, first_records
+from creditloom.operators.filters import entity_rows, filter_years, first_records, known_years
 from creditloom.operators.joins import lookup_join
 from creditloom.sources.resolve import resolve_all_groups
+from creditloom.staging import stage
 
 KEYS = (ENTITY, YEAR)
 
@@ -103,30 +104,39 @@ def merge_records_mode(df: DataFrame, keys=KEYS, cols: list[str] | None = None)
 
 
 def yearly_trend(
-    df: DataFrame, cols: list[str] = TREND_METRICS, by=KEYS
+    df: DataFrame, cols: list[str] = TREND_METRICS, by=KEYS, year: str = YEAR
 ) -> DataFrame:
-    """Mean per company and year of all trend metrics present, from one aggregate."""
+    """Mean per company and known year of all trend metrics present, from one aggregate."""
     present = [name for name in cols if name in df.columns]
-    return merge_records_mean(df, by, present)
+    return merge_records_mean(known_years(df, year), by, present)
 
 
-def comparison_pivot(df: DataFrame, cols: list[str], by=KEYS) -> DataFrame:
-    """Mean of the chosen indicators, one row per company, indicator and year."""
+def comparison_pivot(
+    df: DataFrame, cols: list[str], by=KEYS, year: str = YEAR
+) -> DataFrame:
+    """Mean of the chosen indicators, one row per company, indicator and known year."""
     present = [name for name in dict.fromkeys(cols) if name in df.columns and is_numeric(df, name)]
-    means = merge_records_mean(df, by, present)
+    means = merge_records_mean(known_years(df, year), by, present)
     quoted = [col(name) for name in present]
     return means.unpivot([col(k) for k in by], quoted, "indicator", "mean")
 
 
 def growth_pct(
-    df: DataFrame, cols: list[str], ffill: bool = True, entity: str = ENTITY, year: str = YEAR
+    df: DataFrame,
+    cols: list[str],
+    ffill: bool = True,
+    entity: str = ENTITY,
+    year: str = YEAR,
+    years: list[int] | None = None,
 ) -> DataFrame:
-    """Percent change of the yearly means to the year before that the company has.
+    """Percent change of the yearly means to the year before that the company has, among
+    the listed years (all known ones by default).
 
     With ``ffill`` a missing mean takes the last known one first. A zero base gives NULL.
     Rows are reduced to one per company-year before they are ordered.
     """
-    means = merge_records_mean(df, (entity, year), cols)
+    rows = known_years(filter_years(df, years or [], year), year)
+    means = merge_records_mean(rows, (entity, year), cols)
     by_year = Window.partitionBy(col(entity)).orderBy(col(year))
     values = means
     if ffill:
@@ -153,8 +163,15 @@ def score_vs_market(
     Both are brought to 0-100 when both are fractions.
     """
     value = numeric(df, score)
-    own = df.groupBy(col(entity), col(year)).agg(F.avg(value).alias("own"))
-    market = df.groupBy(col(year)).agg(F.avg(value).alias("market"))
+    sums = df.groupBy(col(entity), col(year)).agg(
+        F.sum(value).alias("__sum"), F.count(value).alias("__n")
+    )
+    # Rows of a year become sums per company-year first; the market is their sum.
+    sums = stage(sums, "company-years")
+    own = sums.select(col(entity), col(year), F.try_divide("__sum", "__n").alias("own"))
+    market = sums.groupBy(col(year)).agg(
+        F.try_divide(F.sum("__sum"), F.sum("__n")).alias("market")
+    )
     both = lookup_join(own, market, [year])
     factor = F.when(F.col("own").between(0, 1) & F.col("market").between(0, 1), 100.0).otherwise(1.0)
     return both.select(
@@ -169,13 +186,13 @@ def score_vs_market(
 def metrics_vs_market(
     df: DataFrame,
     metrics: list[str] = KEY_METRICS,
-    limit: int = 4,
+    limit: int | None = None,
     order: list[str] | None = None,
     entity: str = ENTITY,
     year: str = YEAR,
 ) -> DataFrame:
-    """First record of each company-year against the mean of the year, for the first
-    ``limit`` metrics present; a missing company value counts as 0."""
+    """First record of each company-year against the mean of the year, for the
+    metrics present (the first ``limit`` of them); a missing company value counts as 0."""
     present = [name for name in metrics if name in df.columns][:limit]
     extra = [name for name in (order or []) if name not in present]
     values = {name: numeric(df, name) for name in present}

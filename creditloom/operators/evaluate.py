@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.columns import col
 from creditloom.operators.running import RANGE_ROWS, running_sums
+from creditloom.staging import stage
 
 # Positions of the threshold control, 0.05 to 0.95 in steps of 0.01.
 THRESHOLDS = [i / 100 for i in range(5, 96)]
@@ -30,9 +31,8 @@ def curve_counts(
 ) -> DataFrame:
     """(threshold, pos, neg, tp, fp, n_pos, n_neg) at each distinct score, from which all
     curves and areas follow."""
-    summed = running_sums(
-        score_counts(df, label, score), "score", ["pos", "neg"], range_rows=range_rows
-    )
+    counts = stage(score_counts(df, label, score), "score-counts")
+    summed = running_sums(counts, "score", ["pos", "neg"], range_rows=range_rows)
     points = summed.select(
         F.col("score").alias("threshold"),
         "pos",
@@ -40,8 +40,9 @@ def curve_counts(
         F.col("cum_pos").alias("tp"),
         F.col("cum_neg").alias("fp"),
     )
-    totals = points.agg(
-        F.struct(F.max("tp").alias("n_pos"), F.max("fp").alias("n_neg")).alias("t")
+    # From the counts, not from the running sums: those are taken once.
+    totals = counts.agg(
+        F.struct(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg")).alias("t")
     ).scalar()
     return points.withColumn("__t", totals).select(
         "threshold",

@@ -14,6 +14,11 @@ def filter_years(df: DataFrame, years: list[int], year: str = YEAR) -> DataFrame
     return df.where(col(year).isin([int(y) for y in years])) if years else df
 
 
+def known_years(df: DataFrame, year: str = YEAR) -> DataFrame:
+    """Rows that have a year."""
+    return df.where(col(year).isNotNull())
+
+
 def recent_years(df: DataFrame, back: int = 9, year: str = YEAR) -> DataFrame:
     """Rows from ``back`` years before the latest year on; all rows if no year is known."""
     latest = df.agg(F.max(col(year)).alias("latest")).scalar()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from creditloom.catalog import ENTITY, RATING, RATING_DOMAIN, SCORE, YEAR
 from creditloom.functions.columns import col, normalize_rating, numeric, rating_ordinal
-from creditloom.operators.filters import filter_years
+from creditloom.operators.filters import filter_years, known_years
 
 
 def densify_domain(
@@ -81,12 +81,14 @@ def rating_distribution(
 def rating_by_year(
     df: DataFrame, rating: str = RATING, years: list[int] | None = None, year: str = YEAR
 ) -> DataFrame:
-    """Year x rating counts: one column per rating of the scale."""
-    return _rating_counts(filter_years(df, years or [], year), rating, [year]).orderBy(col(year))
+    """Year x rating counts: one column per rating of the scale. Rows without a year do
+    not count."""
+    rows = known_years(filter_years(df, years or [], year), year)
+    return _rating_counts(rows, rating, [year]).orderBy(col(year))
 
 
 def rating_distribution_by_year(
     df: DataFrame, rating: str = RATING, year: str = YEAR
 ) -> DataFrame:
-    """Every year with every rating of the scale, zero where none occurs."""
-    return _rating_rows(_rating_counts(df, rating, [year]), [year])
+    """Every known year with every rating of the scale, zero where none occurs."""
+    return _rating_rows(_rating_counts(known_years(df, year), rating, [year]), [year])

@@ -1,6 +1,7 @@
 """Investment-grade classifiers and segments on spark.ml."""
 
 from dataclasses import dataclass
+from functools import cached_property
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -48,34 +49,43 @@ def _few_tasks(df: DataFrame, n: int) -> DataFrame:
 
 @dataclass
 class Classifier:
-    """A fitted model with the scored rows of its holdout part."""
+    """A fitted model with the rows of its two parts."""
 
     model: PipelineModel
     features: list[str]
     train: DataFrame
-    holdout: DataFrame
+    test: DataFrame
+    keys: tuple[str, ...] = KEYS
+
+    @cached_property
+    def holdout(self) -> DataFrame:
+        """Scored rows of the test part, written when they are first asked for."""
+        kept = [*[col(k) for k in self.keys], "label", *[col(name) for name in self.features]]
+        return stage(self.predict(self.test).select(*kept, "p_ig", "prediction"), "holdout")
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Add ``p_ig`` and ``prediction`` to every row."""
-        added = [*_inputs(self.features), *_made_columns(self.model)]
-        scored = self.model.transform(with_inputs(df, self.features))
-        positive = vector_to_array("probability")[1]
-        return scored.withColumn("p_ig", positive).drop(*[a for a in added if a != "prediction"])
+        """Add ``p_ig`` and ``prediction`` to every row, in place of columns of these names.
+
+        The model sees its inputs and one struct of all columns, so columns that are
+        called like its own stay as they are.
+        """
+        inputs = [
+            numeric(df, name).alias(f)
+            for f, name in zip(_inputs(self.features), self.features, strict=True)
+        ]
+        packed = df.select(F.struct(*[col(c) for c in df.columns]).alias("__row"), *inputs)
+        scored = self.model.transform(packed)
+        kept = [c for c in df.columns if c.lower() not in ("p_ig", "prediction")]
+        return scored.select(
+            *[F.col("__row").getField(c).alias(c) for c in kept],
+            vector_to_array("probability")[1].alias("p_ig"),
+            "prediction",
+        )
 
     def metrics(self) -> DataFrame:
         return holdout_metrics(self.holdout, score="p_ig", prediction="prediction")
 
 
-def _made_columns(model: PipelineModel) -> list[str]:
-    names = ["rawPrediction", "probability", "prediction"]
-    for part in model.stages:
-        if part.hasParam("outputCols"):
-            names += part.getOutputCols()
-        elif part.hasParam("outputCol"):
-            names.append(part.getOutputCol())
-    return names
-
-
 def _labelled(df: DataFrame, features: list[str], keys) -> DataFrame:
     rows = df.select(
         *[col(k) for k in keys],
@@ -114,14 +124,11 @@ def _sizes(parts: DataFrame) -> _Sizes:
 def _fit(
     estimator: Pipeline, parts: DataFrame, sizes: _Sizes, features: list[str], keys
 ) -> Classifier:
-    """Fit on the rows with ``is_train`` and score the others once."""
+    """Fit on the rows with ``is_train``; the others are the test part."""
     train = parts.where("is_train").drop("is_train")
     model = estimator.fit(_few_tasks(with_inputs(train, features), sizes.train))
     test = parts.where(~F.col("is_train")).drop("is_train")
-    fitted = Classifier(model, features, train, test)
-    kept = [*[col(k) for k in keys], "label", *[col(name) for name in features]]
-    fitted.holdout = stage(fitted.predict(test).select(*kept, "p_ig", "prediction"), "holdout")
-    return fitted
+    return Classifier(model, features, train, test, tuple(keys))
 
 
 def train_lr(
@@ -212,12 +219,14 @@ def _fold_areas(
     fitted = prepare.fit(train)
     ready = fitted.transform(train).select("label", "z").persist()
     held = fitted.transform(valid).select("label", "z").persist()
-    evaluator = BinaryClassificationEvaluator(labelCol="label")
-    with ThreadPool(len(grid)) as pool:
-        areas = pool.map(lambda g: evaluator.evaluate(lr.fit(ready, g).transform(held)), grid)
-    ready.unpersist()
-    held.unpersist()
-    return areas
+    # One bin per distinct score: the area is exact.
+    evaluator = BinaryClassificationEvaluator(labelCol="label", numBins=0)
+    try:
+        with ThreadPool(len(grid)) as pool:
+            return pool.map(lambda g: evaluator.evaluate(lr.fit(ready, g).transform(held)), grid)
+    finally:
+        ready.unpersist()
+        held.unpersist()
 
 
 def cv_lr(

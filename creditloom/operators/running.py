@@ -8,15 +8,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditloom.staging import stage
 
-RANGE_ROWS = 1_000_000
-MAX_RANGES = 10_000
+#: Rows per range; the number of ranges follows the number of rows.
+RANGE_ROWS = 100_000
 
 
 def _range_bounds(df: DataFrame, order: str, n: int, range_rows: int) -> list[float]:
     """Inner bounds of ranges with about ``range_rows`` rows each; none for a small table."""
-    ranges = min(MAX_RANGES, -(-n // range_rows))
+    ranges = -(-n // range_rows)
     if ranges <= 1:
         return []
     probs = [i / ranges for i in range(1, ranges)]
@@ -34,10 +33,10 @@ def running_sums(
     """Add ``cum_<name>`` for each of ``sums``: total of the rows up to and with this one.
 
     ``df`` must hold one row per value of the double column ``order`` (an aggregate on
-    it), so that a value shared by many rows is one row here and ranges stay even. It is
-    staged, since bounds, totals and sums have to see the same rows.
+    it), so that a value shared by many rows is one row here and ranges stay even, and
+    be staged, since bounds, totals and sums have to see the same rows.
     """
-    staged = stage(df, "running")
+    staged = df
     bounds = _range_bounds(staged, order, staged.count(), range_rows)
     ranged = staged.withColumn("__range", F.lit(0.0))
     if bounds:
@@ -47,7 +46,7 @@ def running_sums(
     across = Window.orderBy(F.col("__range") * direction).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    # At most MAX_RANGES rows: the window without partitions and the broadcast are bounded.
+    # One row per range.
     totals = ranged.groupBy("__range").agg(*[F.sum(name).alias(name) for name in sums])
     offsets = totals.select(
         "__range",

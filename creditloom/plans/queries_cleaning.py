@@ -126,6 +126,7 @@ def normalize_year(spark, sf_dir):
     kind = F.col("o_orderpriority")
     written = F.when(kind == "1-URGENT", text).when(kind == "2-HIGH", F.concat(text, F.lit(".0")))
     written = written.when(kind == "3-MEDIUM", F.concat(F.lit("FY"), text))
+    written = written.when(kind == "5-LOW", F.concat(text, F.lit("d")))
     return orders.select("o_orderkey", year_of(written).alias("Year"))
 
 

@@ -25,27 +25,26 @@ def detect_rating(columns: list[str]) -> str | None:
     return next(iter(exact + partial), None)
 
 
+def matching_column(columns: list[str], alias: str, exact_only: bool = False) -> str | None:
+    """The best column for one metric name: equal in any case before containing the name or
+    contained in it (off with ``exact_only``, since short names match often); of equally
+    good ones the first."""
+    word = alias.lower()
+
+    def rank(name: str) -> int:
+        other = name.lower()
+        return 0 if other == word else 1 if word in other or other in word else 2
+
+    best = min(columns, key=rank, default=None)  # the first of the smallest ranks
+    return best if best is not None and rank(best) <= (0 if exact_only else 1) else None
+
+
 def resolve_metric_group(
     columns: list[str], aliases: list[str], exact_only: bool = False
 ) -> list[str]:
-    """Existing columns for a list of metric names, in the order of the names.
-
-    A name is matched in any case first; failing that, it takes the first column whose
-    name contains it or is contained in it (off with ``exact_only``, since short column
-    names match often). A column found by containment is not listed a second time.
-    """
-    by_word = {name.lower(): name for name in columns}
-    found: list[str] = []
-    for alias in aliases:
-        word = alias.lower()
-        if word in by_word:
-            found.append(by_word[word])
-        elif not exact_only:
-            close = (c for c in columns if word in c.lower() or c.lower() in word)
-            match = next(close, None)
-            if match is not None and match not in found:
-                found.append(match)
-    return found
+    """Existing columns for a list of metric names, in the order of the names, each once."""
+    best = (matching_column(columns, alias, exact_only) for alias in aliases)
+    return list(dict.fromkeys(name for name in best if name is not None))
 
 
 def resolve_all_groups(

@@ -42,8 +42,11 @@ def test_numbers_by_type(spark):
 
 
 def test_dirty_years(spark):
-    df = spark.createDataFrame([("2010",), ("2010.0",), ("x",), (None,), ("NaN",)], "y string")
-    assert one(df, c.normalize_year(F.col("y"))) == [2010, 2010, None, None, None]
+    df = spark.createDataFrame([("2010",), ("2010.0",), ("x",), (None,), ("NaN",), ("2010d",), ("2010f",)], "y string")
+    assert one(df, c.normalize_year(F.col("y"))) == [2010, 2010, None, None, None, None, None]
+    numbers = spark.createDataFrame([(2010.0, 2011), (float("nan"), None)], "y double, z int")
+    assert one(numbers, c.normalize_year(F.col("y"))) == [2010, None]
+    assert one(numbers, c.normalize_year(F.col("z"))) == [2011, None]
 
 
 def test_column_names_with_any_characters(spark):

@@ -22,7 +22,9 @@ def test_rating_column():
 def test_metric_groups():
     columns = ["Company Code", "roa", "Cash", "Operating Cash Flow"]
     find = resolve.resolve_metric_group
-    assert find(columns, ["ROA", "ROA"]) == ["roa", "roa"]
+    assert find(columns, ["ROA", "ROA"]) == ["roa"]
+    assert find(["cash flow", "Cash"], ["Cash"]) == ["Cash"]
+    assert find(["cash flow", "net cash"], ["Cash"]) == ["cash flow"]
     assert find(columns, ["Cash and Cash Equivalents", "Cash Equivalents"]) == ["Cash"]
     assert find(columns, ["Cash and Cash Equivalents", "Cash"], exact_only=True) == ["Cash"]
     assert find(columns, METRIC_GROUPS["Coverage"], exact_only=True) == []
