@@ -11,7 +11,7 @@ passages are put together from the matches at their several minimisers.
 
 Ties in the order are broken by id and place, so a passage in a third of all texts is spread
 over many tasks; the rows next to a border between two tasks are compared once more across
-it. Words beyond the hashed ones are compared by 16-bit codes.
+it. Words beyond the hashed ones are compared by 24-bit codes.
 
 All places of a repeated passage are reported, the first too. Nulls and empty texts have
 none. Rows with the same id count as parts of one document, placed by a hash of their text;
@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +44,13 @@ GROUP = 6
 #: Rows of one head that are compared together, and rows compared across a border.
 TOGETHER = 50_000
 BORDER = 100
+CODE_BYTES = 3
 SUFFIX = "id long, part long, at int, head long, tail binary, lead binary"
 MATCH = ["id", "part", "first", "last", "other"]
-SWEPT = f"edge boolean, {SUFFIX}, first int, last int, other long"
+SWEPT = f"edge int, {SUFFIX}, first int, last int, other long"
 SWEPT_ARROW = pa.schema(
     [
-        ("edge", pa.bool_()),
+        ("edge", pa.int32()),
         ("id", pa.int64()),
         ("part", pa.int64()),
         ("at", pa.int32()),
@@ -63,8 +65,25 @@ SWEPT_ARROW = pa.schema(
 
 
 def _codes(hashes: np.ndarray) -> np.ndarray:
-    """16-bit codes of words; 0 stands for the end of a text."""
-    return (mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(65535) + np.uint64(1)).astype(">u2")
+    """Codes of words in ``CODE_BYTES`` bytes; 0 stands for the end of a text."""
+    most = np.uint64((1 << 8 * CODE_BYTES) - 1)
+    return (mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) % most + np.uint64(1)).astype(">u4")
+
+
+def _packed(codes: np.ndarray) -> list[bytes]:
+    """The codes of each row, without their leading zero bytes."""
+    n, width = codes.shape
+    parts = np.ascontiguousarray(codes).view(np.uint8).reshape(n, width, 4)[:, :, 4 - CODE_BYTES :]
+    return [row.tobytes() for row in np.ascontiguousarray(parts)]
+
+
+def _unpacked(column: pa.Array, width: int) -> np.ndarray:
+    flat = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
+    parts = flat.reshape(len(column), width, CODE_BYTES)
+    out = np.zeros((len(column), width), dtype=np.uint64)
+    for i in range(CODE_BYTES):
+        out = out << np.uint64(8) | parts[:, :, i]
+    return out
 
 
 def retained(hashes: np.ndarray, bounds: np.ndarray, length: int, span: int, group: int) -> np.ndarray:
@@ -85,8 +104,7 @@ def _context(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, step: int
     away = np.arange(reach)
     places = starts[:, None] + step * away[None, :]
     inside = places < stops[:, None] if step > 0 else places >= stops[:, None]
-    found = np.where(inside, codes[np.clip(places, 0, max(len(codes) - 1, 0))], 0).astype(">u2")
-    return [row.tobytes() for row in found]
+    return _packed(np.where(inside, codes[np.clip(places, 0, max(len(codes) - 1, 0))], 0).astype(">u4"))
 
 
 def _suffix_rows(length: int, span: int, group: int) -> Callable:
@@ -139,10 +157,7 @@ def _passages(batch: pa.RecordBatch, length: int, span: int) -> pa.RecordBatch:
         close[:-1] |= heads[1:] == heads[:-1]
     mine = batch.filter(pa.array(close))
     n, reach = mine.num_rows, span - 1
-    lead, tail = (
-        np.frombuffer(b"".join(mine.column(c).to_pylist()), dtype=">u2").reshape(n, reach).astype(np.uint64)
-        for c in ("lead", "tail")
-    )
+    lead, tail = (_unpacked(mine.column(c), reach) for c in ("lead", "tail"))
     head = np.asarray(mine.column("head")).view(np.uint64)
     before, after = _prefix_sums(lead, WORD_STEP), _prefix_sums(tail, BYTE_STEP)
     room_before, room_after = (lead > 0).sum(axis=1), (tail > 0).sum(axis=1)
@@ -183,10 +198,14 @@ def _passages(batch: pa.RecordBatch, length: int, span: int) -> pa.RecordBatch:
     )
 
 
-def _swept(rows: pa.RecordBatch, edge: bool) -> pa.RecordBatch:
-    """Rows in the columns of ``SWEPT``; what they do not have is null."""
+def _swept(rows: pa.RecordBatch, edge: int | None = None) -> pa.RecordBatch:
+    """Rows in the columns of ``SWEPT``; what they do not have is null.
+
+    ``edge`` is 2 x the task for rows at its beginning, and one more for those at its end.
+    """
     n = rows.num_rows
-    known = {**dict(zip(rows.schema.names, rows.columns, strict=True)), "edge": pa.array([edge] * n)}
+    known = dict(zip(rows.schema.names, rows.columns, strict=True))
+    known["edge"] = pa.array([edge] * n, pa.int32())
     columns = [
         known[f.name].cast(f.type) if f.name in known else pa.nulls(n, f.type) for f in SWEPT_ARROW
     ]
@@ -201,6 +220,8 @@ def _sweep(length: int, span: int) -> Callable:
     """
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        begin = 2 * (context.partitionId() if context else 0)
         first = carried = last = None
         for part in parts:
             if not part.num_rows:
@@ -211,16 +232,16 @@ def _sweep(length: int, span: int) -> Callable:
             heads = np.asarray(batch.column("head"))
             if first is None:
                 first = heads[0]
-                yield _swept(batch.slice(0, min(BORDER, int((heads == first).sum()))), True)
+                yield _swept(batch.slice(0, min(BORDER, int((heads == first).sum()))), begin)
             last = batch.slice(max(0, len(heads) - BORDER))
             open_rows = int((heads == heads[-1]).sum())
             done = len(heads) - open_rows if open_rows <= TOGETHER else len(heads)
-            yield _swept(_passages(batch.slice(0, done), length, span), False)
+            yield _swept(_passages(batch.slice(0, done), length, span))
             carried = batch.slice(done) if done < len(heads) else None
         if carried is not None:
-            yield _swept(_passages(carried, length, span), False)
+            yield _swept(_passages(carried, length, span))
         if last is not None:
-            yield _swept(last, True)
+            yield _swept(last, begin + 1)
 
     return rows
 
@@ -244,10 +265,17 @@ def passage_matches(
     ordered = suffixes.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
     swept = stage(ordered.mapInArrow(_sweep(length, span), SWEPT), "matches")
     names = [c.split()[0] for c in SUFFIX.split(", ")]
-    # Rows of one head that lie on both sides of a border.
-    edges = swept.where("edge").select(*names).distinct().repartition(partitions, "head")
-    across = edges.sortWithinPartitions(*order).mapInArrow(_sweep(length, span), SWEPT)
-    return swept.unionByName(across).where("NOT edge").select(*MATCH)
+    # Rows on both sides of a border: the end of a task and the beginning of the next one
+    # that has rows. The driver gets the numbers of the tasks.
+    edges = swept.where("edge IS NOT NULL")
+    tasks = sorted(r[0] for r in edges.select(F.expr("edge DIV 2")).distinct().collect())
+    turn = F.array_position(F.lit(tasks).cast("array<bigint>"), F.expr("edge DIV 2"))
+    border = (turn + F.expr("edge % 2")).alias("border")
+    # A row next to two borders is compared across each; heads of other borders differ.
+    sides = edges.select(border, *names).withColumn("head", F.xxhash64("head", "border"))
+    sides = sides.repartition(partitions, "border").drop("border").sortWithinPartitions(*order)
+    across = sides.mapInArrow(_sweep(length, span), SWEPT)
+    return swept.unionByName(across).where("edge IS NULL").select(*MATCH)
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
