@@ -32,7 +32,10 @@ BEGIN, END = mix(np.array([1, 2], dtype=np.uint64) * np.uint64(0xA0761D6478BD642
 FLUSH = 2_000_000
 SCORED_BYTES = 4 << 20
 
-BIGRAM = np.dtype([("count", "<u4")])
+#: Counts of bigrams take a byte; those from 255 on are in an array of their own.
+LARGE = 255
+BIGRAM = np.dtype([("count", "u1")])
+FREQUENT = np.dtype([("count", "<u8")])
 WORD = np.dtype(
     [("count", "<u8"), ("before", "<u4"), ("total", "<u8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4")]
 )
@@ -137,7 +140,9 @@ def _merge_pairs(folder: str, shards: int) -> Callable:
         order, firsts = _groups(keys)
         total = _add(counts, order, firsts)
         first, second, keys = first[order][firsts], second[order][firsts], keys[order][firsts]
-        SortedShards.write(folder, "bigrams", key[0].as_py(), keys, total.astype("<u4"))
+        shard, large = key[0].as_py(), total >= LARGE
+        SortedShards.write(folder, "bigrams", shard, keys, np.minimum(total, LARGE).astype("u1"))
+        SortedShards.write(folder, "frequent", shard, keys[large], total[large].astype("<u8"))
         sums = np.zeros(2 * len(keys), dtype=WORD)
         half = len(keys)
         sums["count"][:half], sums["before"][:half] = total, 1
@@ -246,6 +251,7 @@ class Scorer:
         self.model = model
         self.words = SortedShards(model.folder, "words", model.shards, WORD)
         self.pairs = SortedShards(model.folder, "bigrams", model.shards, BIGRAM)
+        self.frequent = SortedShards(model.folder, "frequent", model.shards, FREQUENT)
         self.word_cut = discounts(list(model.word_levels))
         self.pair_cut = discounts(list(model.bigram_levels))
         n1, n2 = model.word_levels[:2]
@@ -270,7 +276,10 @@ class Scorer:
         left = info["n1"] * self.pair_cut[1] + info["n2"] * self.pair_cut[2] + info["n3"] * self.pair_cut[3]
         back = np.where(total > 0, left / np.maximum(total, 1), 1.0)
         pairs, at = np.unique(pair_hashes(before, tokens), return_inverse=True)
-        count = self.pairs.find(pairs)["count"][at]
+        count = self.pairs.find(pairs)["count"].astype(np.int64)
+        large = np.flatnonzero(count == LARGE)
+        count[large] = self.frequent.find(pairs[large])["count"]
+        count = count[at]
         cut = count - self.pair_cut[np.minimum(count, 3)]
         direct = np.where(count > 0, cut / np.maximum(total[context], 1), 0.0)
         known = info["count"][token]

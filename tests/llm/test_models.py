@@ -63,6 +63,16 @@ def test_scores_same_as_brute_force(frame, corpus, train_to):
         assert r["base_score"] == pytest.approx(base, rel=1e-9, abs=1e-9)
 
 
+def test_frequent_bigrams(frame):
+    rows = [(1, "a b " * 700 + "c"), (2, "a b a c")]
+    docs = frame(rows)
+    probability, _, _ = plain_model([t for _, t in rows])
+    for r in kneser_ney.score(docs, kneser_ney.train(docs)).collect():
+        w = tokens(dict(rows)[r["row"]["doc_id"]])
+        expected = sum(math.log10(probability(v, x)) for v, x in zip(["<s>", *w[:-1]], w, strict=True))
+        assert r["score"] == pytest.approx(expected, rel=1e-9)
+
+
 def test_probabilities_sum_to_one(corpus):
     probability, count, _ = plain_model([t for _, t in corpus])
     for v in ["<s>", "w1", "never"]:
