@@ -21,7 +21,6 @@ KEYS = (ENTITY, YEAR)
 
 BUCKET_ROWS = 20_000
 GRID_POINTS = 100
-GLOBAL_ROWS = 1_000
 BLOCK_NODES = 2_000_000
 CELLS = 2_000_000
 TABLE_TESTS = 6
@@ -408,20 +407,9 @@ def tree_attributions(fitted: Classifier, df: DataFrame, keys=KEYS) -> DataFrame
     return long.withColumn("base_value", F.lit(base))
 
 
-def explained_sample(staged: DataFrame, n: int = GLOBAL_ROWS) -> DataFrame:
-    """``n`` random rows of a staged table (all when there are fewer).
-
-    The number of a row is hashed, not its key, so that copies are drawn one by one.
-    """
-    numbered = staged.withColumn("__place", F.monotonically_increasing_id())
-    mixed = F.xxhash64(F.lit(42), "__place")
-    return numbered.orderBy(mixed, "__place").limit(n).drop("__place")
-
-
-def shap_global(fitted: Classifier, keys=KEYS, n: int = GLOBAL_ROWS) -> DataFrame:
-    """Mean absolute attribution per feature over a sample of the training rows."""
-    sample = stage(explained_sample(fitted.train, n).repartition(8), "explained")
-    values = tree_attributions(fitted, sample, keys)
+def shap_global(fitted: Classifier, keys=KEYS) -> DataFrame:
+    """Mean absolute attribution per feature over all training rows."""
+    values = tree_attributions(fitted, fitted.train, keys)
     return values.groupBy("feature").agg(
         F.avg(F.abs("value")).alias("mean_abs_value"), F.count(F.lit(1)).alias("n_rows")
     )

@@ -19,9 +19,19 @@ FEATURES = q.FEATURES
 KEYS = '"Company Code", "Year"'
 ID = "concat_ws('|', CAST(\"Company Code\" AS VARCHAR), CAST(\"Year\" AS VARCHAR))"
 
-# Sizes of the registered forests; the operators have the larger usual sizes as defaults.
-FOREST = {"trees": 20, "max_depth": 8}
-ISOLATION_TREES = 100
+# The depth bounds the forest (at most 400 x 511 nodes), whose nodes the driver holds; the
+# operator itself goes on to a depth of 30.
+FOREST = {"trees": 400, "max_depth": 8}
+
+_forests: dict[tuple[str, str], models.Classifier | None] = {}
+
+
+def forest(spark, sf_dir):
+    """The forest of the panel, fitted once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _forests:
+        _forests[key] = models.train_rf(model_rows(spark, sf_dir), FEATURES, **FOREST)
+    return _forests[key]
 
 
 def scored(spark, sf_dir):
@@ -376,53 +386,53 @@ def kmeans_segments(spark, sf_dir):
 @query()
 def train_rf(spark, sf_dir):
     rows = model_rows(spark, sf_dir)
-    return models.metrics_or_empty(models.train_rf(rows, FEATURES, **FOREST), rows)
+    return models.metrics_or_empty(forest(spark, sf_dir), rows)
 
 
 @query()
 def rf_score_ig(spark, sf_dir):
-    fitted = models.train_rf(model_rows(spark, sf_dir), FEATURES, **FOREST)
+    fitted = forest(spark, sf_dir)
     return models.rf_score_ig(fitted, panel(spark, sf_dir))
 
 
 @query()
 def permutation_importance_rf(spark, sf_dir):
-    fitted = models.train_rf(model_rows(spark, sf_dir), FEATURES, **FOREST)
+    fitted = forest(spark, sf_dir)
     return explain.permutation_importance(fitted.holdout, FEATURES, fitted.predict)
 
 
 @query()
 def shap_global(spark, sf_dir):
-    fitted = models.train_rf(model_rows(spark, sf_dir), FEATURES, **FOREST)
+    fitted = forest(spark, sf_dir)
     return explain.shap_global(fitted)
 
 
 @query()
 def shap_row(spark, sf_dir):
-    fitted = models.train_rf(model_rows(spark, sf_dir), FEATURES, **FOREST)
+    fitted = forest(spark, sf_dir)
     return explain.shap_row(fitted, panel(spark, sf_dir))
 
 
 @query()
 def partial_dependence_rf(spark, sf_dir):
-    fitted = models.train_rf(model_rows(spark, sf_dir), FEATURES, **FOREST)
-    return explain.partial_dependence(
-        fitted.train, FEATURES, fitted.predict, shown=FEATURES[:3], points=20
-    )
+    fitted = forest(spark, sf_dir)
+    importance = explain.permutation_importance(fitted.holdout, FEATURES, fitted.predict)
+    shown = [r["feature"] for r in explain.top_features(importance, 3).collect()]
+    return explain.partial_dependence(fitted.train, FEATURES, fitted.predict, shown=shown)
 
 
 @query()
 def isoforest_fit_rank(spark, sf_dir):
     rows = panel(spark, sf_dir)
     train = prep.build_ml(rows, FEATURES)
-    return anomaly.isoforest_fit_rank(train, rows, FEATURES, trees=ISOLATION_TREES)
+    return anomaly.isoforest_fit_rank(train, rows, FEATURES)
 
 
 @query()
 def isoforest_flags(spark, sf_dir):
-    return anomaly.isoforest_flags(panel(spark, sf_dir), FEATURES, trees=ISOLATION_TREES)
+    return anomaly.isoforest_flags(panel(spark, sf_dir), FEATURES)
 
 
 @query()
 def isoforest_raw(spark, sf_dir):
-    return anomaly.isoforest_raw(model_rows(spark, sf_dir), FEATURES, trees=ISOLATION_TREES)
+    return anomaly.isoforest_raw(model_rows(spark, sf_dir), FEATURES)

@@ -1,8 +1,9 @@
 """Intermediate tables in the cluster's shared folder.
 
 A staged table cuts the lineage, is read back with column pruning and survives the
-loss of executors. The folder is the one named in ``spark.checkpoint.dir``; a folder of
-our own is made only when that is unset and Spark runs in one local process.
+loss of executors. The folder is the one named in ``spark.checkpoint.dir``, or else the one
+set with ``SparkContext.setCheckpointDir``. A folder of our own is made only when neither is
+set and Spark runs in one local process.
 """
 
 import tempfile
@@ -14,11 +15,12 @@ _local_roots: dict[str, str] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    # ``local-cluster`` has executors of its own, as a cluster does.
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     app = context.applicationId
     if app not in _local_roots:
@@ -31,6 +33,15 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/creditloom/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_staged(spark: SparkSession) -> None:
+    """Delete the staged tables of this application; call it when their results are written."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(
+        f"{staging_root(spark)}/creditloom/{context.applicationId}"
+    )
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and return it as a scan of that table."""
     path = staging_path(df.sparkSession, name)

@@ -151,3 +151,20 @@ def test_detail(panel):
     ]
     assert [r["Year"] for r in company.entity_detail(panel, "a").collect()] == [2013]
     assert company.entity_detail(panel, "a", year_value=2010).count() == 2
+
+
+def test_rows_without_a_year(spark):
+    rows = [("x", None, "A", 10.0), ("x", 2010, "A", 20.0), ("x", 2011, "B", 30.0), ("x", 2012, "B", 60.0)]
+    df = spark.createDataFrame(rows, "`Company Code` string, Year int, Rating string, ROA double")
+    grown = {r["Year"]: r["ROA growth %"] for r in company.growth_pct(df, ["ROA"]).collect()}
+    assert grown == {2010: None, 2011: 50.0, 2012: 100.0}
+    some = {r["Year"]: r["ROA growth %"] for r in company.growth_pct(df, ["ROA"], years=[2010, 2012]).collect()}
+    assert some == {2010: None, 2012: 200.0}
+    years = lambda found: {r["Year"] for r in found.collect()}
+    for found in (
+        market.rating_by_year(df),
+        market.rating_distribution_by_year(df),
+        company.yearly_trend(df, ["ROA"]),
+        company.comparison_pivot(df, ["ROA"]),
+    ):
+        assert years(found) == {2010, 2011, 2012}

@@ -192,9 +192,9 @@ def test_attributions_add_up_in_blocks_of_trees(forest, monkeypatch):
 
 
 def test_global_and_row_attributions(forest):
-    order = explain.shap_global(forest, n=200).orderBy(F.desc("mean_abs_value")).collect()
+    order = explain.shap_global(forest).orderBy(F.desc("mean_abs_value")).collect()
     assert order[0]["feature"] == "ROE"
-    assert order[0]["n_rows"] == 200
+    assert order[0]["n_rows"] == forest.train.count()
     rows_found = explain.shap_row(forest, forest.holdout.limit(3), n=2).collect()
     assert len(rows_found) == 6
     assert {r["rank"] for r in rows_found} == {1, 2}
@@ -266,3 +266,15 @@ def test_records_of_one_key_are_explained_apart(forest):
     assert {r["count"] for r in totals.collect()} == {2}
     values = explain.tree_attributions(forest, twice).where("feature = 'ROE'").collect()
     assert len(values) == 2 and values[0]["value"] != values[1]["value"]
+
+
+def test_prediction_keeps_the_callers_columns(spark):
+    rows = [(i, 2010, i % 2, float(i % 2) + (i % 7) / 20) for i in range(400)]
+    df = spark.createDataFrame(rows, "`Company Code` long, `Year` int, label int, ROA double")
+    fitted = models.train_lr(df, ["ROA"])
+    own = {"F1": "a", "vector": "b", "probability": "c", "rawPrediction": "d", "f0_filled": "e", "f0": "f"}
+    wide = df.withColumns({name: F.lit(v) for name, v in own.items()})
+    found = fitted.predict(wide)
+    assert found.columns == [*wide.columns, "p_ig", "prediction"]
+    row = found.first()
+    assert {name: row[name] for name in own} == own and 0 <= row["p_ig"] <= 1

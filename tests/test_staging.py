@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from creditloom import staging
 
 
-def fake_session(master, conf):
-    context = SimpleNamespace(master=master, applicationId="app-1")
+def fake_session(master, conf, checkpoints=None):
+    context = SimpleNamespace(
+        master=master, applicationId="app-1", getCheckpointDir=lambda: checkpoints
+    )
     return SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=context)
 
 
@@ -21,6 +23,13 @@ def test_the_named_folder_is_used():
 def test_no_local_folder_on_a_cluster():
     with pytest.raises(RuntimeError):
         staging.staging_root(fake_session("spark://host:7077", {}))
+    with pytest.raises(RuntimeError):
+        staging.staging_root(fake_session("local-cluster[2,1,1024]", {}))
+
+
+def test_folder_set_on_the_context():
+    session = fake_session("spark://host:7077", {}, "hdfs://x/checkpoints/1")
+    assert staging.staging_root(session) == "hdfs://x/checkpoints/1"
 
 
 def test_own_folder_for_one_local_process():
@@ -36,3 +45,11 @@ def test_staged_rows_are_the_same(spark):
     assert staged.schema.names == df.schema.names
     assert sorted(map(tuple, staged.collect())) == sorted(map(tuple, df.collect()))
     assert "test-" in staged.inputFiles()[0]
+
+
+def test_staged_tables_can_be_removed(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(staging, "staging_root", lambda _: str(tmp_path))
+    staging.stage(spark.range(3), "gone")
+    assert list(tmp_path.rglob("part-*"))
+    staging.remove_staged(spark)
+    assert not list(tmp_path.rglob("part-*"))
