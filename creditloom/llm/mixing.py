@@ -4,8 +4,8 @@ Every source has a weight and a schedule, a piecewise linear weight over trainin
 from 0 to 1. The sources share the words of all documents by weight, but no source gives
 more than ``most`` times its own words; what that leaves is shared by weight among the
 others. Inside a source documents come in the order of a hash: whole passes over the
-source and then as many documents as the rest of its target holds, the last one if more
-than half of it fits. The words before a copy are a share of the source's target; the
+source, then as many documents as the rest of its target holds, then the one document whose
+size is closest to the words still missing. The words before a copy are a share of the source's target; the
 inverse of the integrated schedule turns that share into the copy's training position.
 
 Sums along a source are taken in buckets of about the square root of its documents, so
@@ -117,6 +117,23 @@ def source_targets(
     )
 
 
+def _closing_documents(placed: DataFrame, most: int) -> DataFrame:
+    """Per source with a gap: rank, filled and the place (``closing_ahead``) of the document
+    whose size is closest to the gap that the documents that fit have left."""
+    fitted = F.when(F.col("fits"), F.col("ahead") + F.col("size")).otherwise(0)
+    gaps = placed.groupBy("rank").agg(F.max(fitted).alias("filled"), F.max("rest").alias("whole"))
+    gaps = gaps.withColumn("gap", F.col("whole") - F.col("filled")).where("gap > 0")
+    open_ = placed.where(~F.col("fits") & (F.col("passes") < most)).join(gaps, "rank")
+    off = F.abs(F.col("size") - F.col("gap"))
+    # Places of documents with words differ inside a source.
+    nearest = F.min_by("ahead", F.struct(off.alias("off"), "draw", "ahead"))
+    return (
+        open_.where(off < F.col("gap"))
+        .groupBy("rank")
+        .agg(nearest.alias("closing_ahead"), F.max("filled").alias("filled"))
+    )
+
+
 def mix(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -167,12 +184,21 @@ def mix(
     ).otherwise(0)
     placed = placed.withColumn("passes", passes)
     rest = F.col("target") - F.col("passes") * F.col("source_size")
-    more = (F.col("passes") < most) & (F.col("ahead") + F.col("size") / 2 <= rest)
-    placed = placed.withColumn("copies", (F.col("passes") + more.cast("long")).cast("long"))
+    fits = (F.col("passes") < most) & (F.col("ahead") + F.col("size") <= rest)
+    placed = stage(placed.withColumns({"rest": rest, "fits": fits}), "placed")
+    last = _closing_documents(placed, most)
+    last = F.broadcast(last) if chars <= BROADCAST_CHARS else last
+    placed = placed.join(last, "rank", "left")
+    closes = F.coalesce((F.col("size") > 0) & (F.col("ahead") == F.col("closing_ahead")), F.lit(False))
+    # The document that closes the gap comes after those that fit.
+    placed = placed.withColumn(
+        "copies", (F.col("passes") + (F.col("fits") | closes).cast("long")).cast("long")
+    ).withColumn("extra_ahead", F.when(closes, F.col("filled")).otherwise(F.col("ahead")))
     no_copies = F.array().cast("array<double>")
 
     def of_copy(i: Column) -> Column:
-        words = i * F.col("source_size") + F.col("ahead")
+        inside = F.when(i < F.col("passes"), F.col("ahead")).otherwise(F.col("extra_ahead"))
+        words = i * F.col("source_size") + inside
         share = F.when(F.col("target") > 0, F.least(words / F.col("target"), F.lit(1.0)))
         return position(F.coalesce(share, F.lit(0.0)), F.col("segments"))
 

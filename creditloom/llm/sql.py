@@ -90,15 +90,24 @@ l AS (SELECT *, CAST(words - full_words AS DOUBLE) / CAST(open_weight AS DOUBLE)
 f AS (SELECT arg_min(level, turn) AS level FROM l WHERE level * weight <= bound),
 t AS (SELECT l.*, least(CAST(bound AS DOUBLE), f.level * weight) AS target FROM l, f),
 p AS (
-  SELECT doc_id, size, source_size, target, CAST(tilt AS DOUBLE) AS tilt,
+  SELECT rk, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw, doc_id, size, source_size, target, CAST(tilt AS DOUBLE) AS tilt,
          coalesce(sum(size) OVER (PARTITION BY rk ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
          CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT *, target - passes * source_size AS rest,
+         passes < 3 AND ahead + size <= target - passes * source_size AS fits FROM p),
+g AS (SELECT rk, max(CASE WHEN fits THEN ahead + size ELSE 0 END) AS filled, max(rest) AS whole FROM q GROUP BY rk),
+x AS (
+  SELECT q.rk AS rk, q.ahead AS closing_ahead, g.filled AS filled FROM q JOIN g ON q.rk = g.rk
+  WHERE NOT fits AND passes < 3 AND whole - filled > 0 AND abs(size - (whole - filled)) < whole - filled
+  QUALIFY row_number() OVER (PARTITION BY q.rk ORDER BY abs(size - (whole - filled)), draw, ahead) = 1),
 c AS (
-  SELECT *, CAST(passes + CASE WHEN passes < 3 AND ahead + size / 2.0 <= target - passes * source_size THEN 1 ELSE 0 END AS BIGINT) AS copies,
-         CASE WHEN target > 0 THEN least(ahead / target, 1.0) ELSE 0 END AS share
-  FROM p)
+  SELECT q.*, CAST(passes + CASE WHEN fits OR coalesce(size > 0 AND ahead = closing_ahead, false) THEN 1 ELSE 0 END AS BIGINT) AS copies,
+         CASE WHEN target > 0 THEN least(CASE WHEN passes = 0 AND coalesce(size > 0 AND ahead = closing_ahead, false)
+                                              THEN filled ELSE ahead END / target, 1.0) ELSE 0 END AS share
+  FROM q LEFT JOIN x ON q.rk = x.rk)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies,
        CASE WHEN copies > 0 THEN
          round(CASE WHEN (1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 2 * (2 * tilt) * share) > 0
