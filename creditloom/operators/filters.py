@@ -1,5 +1,7 @@
 """Row filters."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +47,7 @@ def last_k_entity_years(
 def _same_value(df: DataFrame, name: str, value) -> Column:
     """Compare in the column's own type where possible, so that the scan can filter."""
     kind = df.schema[name].dataType
-    if isinstance(kind, T.IntegralType) and str(value).lstrip("-").isdigit():
+    if isinstance(kind, T.IntegralType) and re.fullmatch("-?[0-9]+", str(value)):
         return col(name) == F.lit(int(value))
     return col(name).cast("string") == F.lit(str(value))
 

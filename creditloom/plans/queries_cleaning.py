@@ -282,11 +282,27 @@ def entity_rows(spark, sf_dir):
   SELECT *, row_number() OVER (PARTITION BY "Company Code", "Year" ORDER BY record) AS place
   FROM records) WHERE place = 1"""
 )
-def entity_year_row(spark, sf_dir):
+def first_records(spark, sf_dir):
     rows = order_records(spark, sf_dir)
     return filters.first_records(rows, ["Company Code", "Year"], ["record"])
 
 
+@query(
+    q.RECORDS
+    + """, c AS (SELECT min(CAST("Company Code" AS VARCHAR)) AS code FROM records),
+y AS (SELECT max("Year") AS latest FROM records, c WHERE CAST("Company Code" AS VARCHAR) = code)
+SELECT "Company Code", "Year", record, amount, priority, status FROM (
+  SELECT records.*, row_number() OVER (ORDER BY record) AS place FROM records, c, y
+  WHERE CAST("Company Code" AS VARCHAR) = code AND "Year" = latest) WHERE place = 1"""
+)
+def entity_year_row(spark, sf_dir):
+    """First record of the latest year of the company whose id is the first as text."""
+    rows = order_records(spark, sf_dir)
+    code = rows.agg(F.min(F.col("Company Code").cast("string"))).first()[0]
+    latest = filters.entity_rows(rows, code).agg(F.max("Year")).first()[0]
+    return filters.entity_year_row(rows, code, latest, ["record"])
+
+
 @query(
     q.PANEL
     + f"SELECT {KEYS}, {q.quoted(q.FEATURES)} FROM panel WHERE "

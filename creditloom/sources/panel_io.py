@@ -96,7 +96,9 @@ def to_panel(
     named, entity = with_entity(df)
     if YEAR in named.columns:
         return named.withColumn(YEAR, normalize_year(col(YEAR))), entity
-    return expand_years(one_row_per_entity(named, entity, order), first, last), entity
+    # A generated id is unique already.
+    rows = one_row_per_entity(named, entity, order) if entity in df.columns else named
+    return expand_years(rows, first, last), entity
 
 
 def read_and_expand(
