@@ -417,7 +417,7 @@ def shap_row(spark, sf_dir):
 def partial_dependence_rf(spark, sf_dir):
     fitted = forest(spark, sf_dir)
     importance = explain.permutation_importance(fitted.holdout, FEATURES, fitted.predict)
-    shown = [r["feature"] for r in explain.top_features(importance, 3).collect()]
+    shown = [r["feature"] for r in explain.top_features(importance, 3).head(3)]
     return explain.partial_dependence(fitted.train, FEATURES, fitted.predict, shown=shown)
 
 
