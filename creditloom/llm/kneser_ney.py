@@ -30,7 +30,7 @@ from creditloom.staging import staging_path
 BEGIN, END = mix(np.array([1, 2], dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 #: Tokens that a task counts before it sends them on, and bytes scored together.
 FLUSH = 2_000_000
-SCORED_BYTES = 4 << 20
+SCORED_BYTES = 2 << 20
 
 #: Counts of bigrams take a byte; those from 255 on are in an array of their own.
 LARGE = 255
