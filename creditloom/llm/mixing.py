@@ -117,12 +117,14 @@ def source_targets(
     )
 
 
-def _closing_documents(placed: DataFrame, most: int) -> DataFrame:
+def _closing_documents(placed: DataFrame, most: int, few_sources: bool) -> DataFrame:
     """Per source with a gap: rank, filled and the place (``closing_ahead``) of the document
     whose size is closest to the gap that the documents that fit have left."""
     fitted = F.when(F.col("fits"), F.col("ahead") + F.col("size")).otherwise(0)
     gaps = placed.groupBy("rank").agg(F.max(fitted).alias("filled"), F.max("rest").alias("whole"))
     gaps = gaps.withColumn("gap", F.col("whole") - F.col("filled")).where("gap > 0")
+    # Without a shuffle by source the nearest document is found on the map side first.
+    gaps = F.broadcast(gaps) if few_sources else gaps
     open_ = placed.where(~F.col("fits") & (F.col("passes") < most)).join(gaps, "rank")
     off = F.abs(F.col("size") - F.col("gap"))
     # Places of documents with words differ inside a source.
@@ -186,8 +188,9 @@ def mix(
     rest = F.col("target") - F.col("passes") * F.col("source_size")
     fits = (F.col("passes") < most) & (F.col("ahead") + F.col("size") <= rest)
     placed = stage(placed.withColumns({"rest": rest, "fits": fits}), "placed")
-    last = _closing_documents(placed, most)
-    last = F.broadcast(last) if chars <= BROADCAST_CHARS else last
+    few_sources = chars <= BROADCAST_CHARS
+    last = _closing_documents(placed, most, few_sources)
+    last = F.broadcast(last) if few_sources else last
     placed = placed.join(last, "rank", "left")
     closes = F.coalesce((F.col("size") > 0) & (F.col("ahead") == F.col("closing_ahead")), F.lit(False))
     # The document that closes the gap comes after those that fit.
