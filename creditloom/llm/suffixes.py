@@ -1,17 +1,19 @@
 """Repeated passages from a sparse suffix array.
 
-Of all suffixes (by words) of all texts those are retained that start at a minimiser: a
-word group whose hash is the smallest of ``span`` consecutive ones. Every passage of
-``length`` words holds one among its first ``span`` starts, so two texts that share the
-passage have suffixes that agree in the ``length - span + 1`` words after it. Retained
-suffixes are range-sorted over the cluster: by the hash of those words, then by the words
-after them. Neighbours that agree are compared and their matches extended to the left and to
-the right, as far as a passage of ``length`` words around the suffix can reach. Longer
-passages are put together from the matches at their several minimisers.
-
-Ties in the order are broken by id and place, so a passage in a third of all texts is spread
-over many tasks; the rows next to a border between two tasks are compared once more across
-it. Words beyond the hashed ones are compared by 24-bit codes.
+Of all suffixes (by words) of all texts those are retained that start at a minimiser: of the
+first ``span`` word groups of a passage of ``length`` words, the leftmost one with the
+smallest hash. It depends on the passage alone, so two texts that share a passage have
+suffixes that agree in the ``length - span + 1`` words (the head) after it. A retained suffix
+carries the hashes of the passages that it stands for, which lie up to ``span - 1`` words to
+the left of it and reach as far to the right. Suffixes are sorted over the cluster by head;
+those that agree are extended to both sides by the hashes of their passages. Longer passages
+are put together from the matches at their several minimisers.
+
+All suffixes of a head meet in one task if they are at most ``TOGETHER``. The passages of more
+frequent heads are sorted one by one, by hash and place, over all tasks: equal ones are
+neighbours, also across the border between two tasks. So a passage in a third of all texts
+is spread over many tasks, and every match is by the 64-bit hash of the whole passage, however
+many suffixes share its head.
 
 All places of a repeated passage are reported, the first too. Nulls and empty texts have
 none. Rows with the same id count as parts of one document, placed by a hash of their text;
@@ -22,230 +24,266 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creditloom.llm.words import (
-    BYTE_STEP,
-    WORD_STEP,
-    mix,
-    sliding,
-    split_words,
-    starts_within,
-    text_slices,
-    window_hashes,
-)
+from creditloom.llm.words import split_words, starts_within, text_slices, window_hashes
 from creditloom.staging import stage
 
 LENGTH = 50
 SPAN = 28
 GROUP = 6
-#: Rows of one head that are compared together, and rows compared across a border.
-TOGETHER = 50_000
-BORDER = 100
-CODE_BYTES = 3
-SUFFIX = "id long, part long, at int, head long, tail binary, lead binary"
-MATCH = ["id", "part", "first", "last", "other"]
-SWEPT = f"edge int, {SUFFIX}, first int, last int, other long"
-SWEPT_ARROW = pa.schema(
-    [
-        ("edge", pa.int32()),
-        ("id", pa.int64()),
-        ("part", pa.int64()),
-        ("at", pa.int32()),
-        ("head", pa.int64()),
-        ("tail", pa.binary()),
-        ("lead", pa.binary()),
-        ("first", pa.int32()),
-        ("last", pa.int32()),
-        ("other", pa.int64()),
-    ]
-)
-
-
-def _codes(hashes: np.ndarray) -> np.ndarray:
-    """Codes of words in ``CODE_BYTES`` bytes; 0 stands for the end of a text."""
-    most = np.uint64((1 << 8 * CODE_BYTES) - 1)
-    return (mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) % most + np.uint64(1)).astype(">u4")
-
-
-def _packed(codes: np.ndarray) -> list[bytes]:
-    """The codes of each row, without their leading zero bytes."""
-    n, width = codes.shape
-    parts = np.ascontiguousarray(codes).view(np.uint8).reshape(n, width, 4)[:, :, 4 - CODE_BYTES :]
-    return [row.tobytes() for row in np.ascontiguousarray(parts)]
-
-
-def _unpacked(column: pa.Array, width: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
-    parts = flat.reshape(len(column), width, CODE_BYTES)
-    out = np.zeros((len(column), width), dtype=np.uint64)
-    for i in range(CODE_BYTES):
-        out = out << np.uint64(8) | parts[:, :, i]
-    return out
-
-
-def retained(hashes: np.ndarray, bounds: np.ndarray, length: int, span: int, group: int) -> np.ndarray:
-    """Starts of the retained suffixes that have ``length - span + 1`` words or more."""
-    grams = window_hashes(hashes, group)
-    lowest = sliding(grams, span, np.minimum)
-    if not len(lowest):
+#: Suffixes of one head that meet in one task; those of more frequent heads are spread.
+TOGETHER = 1_000
+#: Frequent heads that are broadcast. If there are more, the least frequent of them meet in
+#: one task each; such a head has at most this share of the suffixes.
+BROADCAST_HEADS = 1_000_000
+SUFFIX = "head long, id long, part long, first int, windows binary"
+MATCH = "id long, part long, first int, last int, other long"
+PLACE = "key long, id long, part long, at int, suffix int, twice boolean"
+NEIGHBOUR = "key long, id long, part long, at int, suffix int, other long"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def leftmost_smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest (of equals the leftmost) of each run of ``width`` values."""
+    n = len(values) - width + 1
+    if n <= 0:
         return np.zeros(0, dtype=np.int64)
-    fits = starts_within(bounds, len(hashes), length)[: len(lowest)]
-    lowest = np.where(fits, lowest, np.uint64(0))
-    pad = np.zeros(span - 1, dtype=np.uint64)
-    highest = sliding(np.concatenate([pad, lowest, pad]), span, np.maximum)
-    return np.flatnonzero((highest == grams) & (highest > 0))
 
+    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[b] < values[a], b, a)
 
-def _context(codes: np.ndarray, starts: np.ndarray, stops: np.ndarray, step: int, reach: int) -> list[bytes]:
-    """``reach`` codes from each start in one direction; 0 at and beyond the stop."""
-    away = np.arange(reach)
-    places = starts[:, None] + step * away[None, :]
-    inside = places < stops[:, None] if step > 0 else places >= stops[:, None]
-    return _packed(np.where(inside, codes[np.clip(places, 0, max(len(codes) - 1, 0))], 0).astype(">u4"))
+    at, span = np.arange(len(values)), 1
+    while span * 2 <= width:
+        at = better(at[:-span], at[span:])
+        span *= 2
+    return better(at[:n], at[width - span : width - span + n])
 
 
-def _suffix_rows(length: int, span: int, group: int) -> Callable:
-    head = length - span + 1
+def retained(
+    hashes: np.ndarray, bounds: np.ndarray, length: int, span: int, group: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all passages, and of each retained suffix the start and the number of its
+    first passage. The passages of a suffix follow each other."""
+    lowest = leftmost_smallest(window_hashes(hashes, group), span)
+    starts = np.flatnonzero(starts_within(bounds, len(hashes), length)[: len(lowest)])
+    places = lowest[starts]
+    fresh = np.ones(len(places), dtype=bool)
+    fresh[1:] = places[1:] != places[:-1]
+    numbers = np.flatnonzero(fresh)
+    return starts, places[numbers], numbers
+
+
+def _head_counts(length: int, span: int, group: int) -> Callable:
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for _, texts in text_slices(part.column("text")):
+                w = split_words(texts)
+                hashes = w.hashes()
+                _, places, _ = retained(hashes, w.bounds, length, span, group)
+                heads = window_hashes(hashes, length - span + 1)[places]
+                heads, counts = np.unique(heads, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(heads.view(np.int64)), pa.array(counts.astype(np.int64))],
+                    names=["head", "n"],
+                )
+
+    return rows
+
 
+def _suffix_rows(length: int, span: int, group: int) -> Callable:
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for at, texts in text_slices(part.column("text")):
                 w = split_words(texts)
                 hashes = w.hashes()
-                places = retained(hashes, w.bounds, length, span, group)
-                owner = w.owner[places]
-                codes = _codes(hashes)
-                first, last = w.bounds[:-1][owner], w.bounds[1:][owner]
-                heads = window_hashes(hashes, head)
+                starts, places, numbers = retained(hashes, w.bounds, length, span, group)
+                windows = window_hashes(hashes, length)[starts]
+                ends = (np.append(numbers, len(starts)) * 8).astype(np.int32)
+                blobs = [None, pa.py_buffer(ends), pa.py_buffer(windows)]
+                firsts = starts[numbers]
+                owner = w.owner[firsts]
+                docs = pa.array(at + owner)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("id").take(pa.array(at + owner)),
-                        part.column("part").take(pa.array(at + owner)),
-                        pa.array((places - first).astype(np.int32)),
-                        pa.array(heads[places].view(np.int64)),
-                        pa.array(_context(codes, places + head, last, 1, span - 1), pa.binary()),
-                        pa.array(_context(codes, places - 1, first, -1, span - 1), pa.binary()),
+                        pa.array(window_hashes(hashes, length - span + 1)[places].view(np.int64)),
+                        part.column("id").take(docs),
+                        part.column("part").take(docs),
+                        pa.array((firsts - w.bounds[:-1][owner]).astype(np.int32)),
+                        pa.Array.from_buffers(pa.binary(), len(numbers), blobs),
                     ],
-                    names=["id", "part", "at", "head", "tail", "lead"],
+                    names=_names(SUFFIX),
                 )
 
     return rows
 
 
-def _prefix_sums(codes: np.ndarray, step: np.uint64) -> np.ndarray:
-    """Hash of the first 0, 1, 2, ... codes of each row."""
-    out = np.zeros((len(codes), codes.shape[1] + 1), dtype=np.uint64)
-    for j in range(codes.shape[1]):
-        out[:, j + 1] = out[:, j] * step + codes[:, j]
-    return out
+def _windows(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every passage of some suffixes, its suffix and its number there."""
+    blobs = rows.column("windows").to_pylist()
+    keys = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+    counts = np.fromiter(map(len, blobs), dtype=np.int64, count=len(blobs)) // 8
+    before = np.cumsum(counts) - counts
+    return keys, np.repeat(np.arange(len(blobs)), counts), np.arange(len(keys)) - np.repeat(before, counts)
 
 
-def _passages(batch: pa.RecordBatch, length: int, span: int) -> pa.RecordBatch:
-    """Repeated passages around the suffixes of a sorted batch.
+def _passages(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Repeated passages around the suffixes of a batch with whole heads, sorted by head.
 
-    Rows whose head a neighbour shares are compared in all ``span`` positions that a passage
-    can have around them. The passages found all hold the head, so they overlap: the one
-    furthest to the left and the one furthest to the right make up the match.
+    The passages of a suffix all hold its head, so they overlap: of those that are found again
+    the one furthest to the left and the one furthest to the right make up the match.
     """
     heads = np.asarray(batch.column("head"))
     close = np.zeros(len(heads), dtype=bool)
-    if len(heads):
-        close[1:] |= heads[1:] == heads[:-1]
-        close[:-1] |= heads[1:] == heads[:-1]
+    close[1:] |= heads[1:] == heads[:-1]
+    close[:-1] |= heads[1:] == heads[:-1]
     mine = batch.filter(pa.array(close))
-    n, reach = mine.num_rows, span - 1
-    lead, tail = (_unpacked(mine.column(c), reach) for c in ("lead", "tail"))
-    head = np.asarray(mine.column("head")).view(np.uint64)
-    before, after = _prefix_sums(lead, WORD_STEP), _prefix_sums(tail, BYTE_STEP)
-    room_before, room_after = (lead > 0).sum(axis=1), (tail > 0).sum(axis=1)
-    left, right = np.full(n, -1), np.full(n, -1)
-    left_other, right_other = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-    for back in range(span):
-        ahead = reach - back
-        rows = np.flatnonzero((room_before >= back) & (room_after >= ahead))
-        keys = mix(mix(head[rows] + before[rows, back]) + after[rows, ahead])
-        rows = rows[np.argsort(keys, kind="stable")]
-        keys = np.sort(keys, kind="stable")
-        pairs = np.flatnonzero(keys[1:] == keys[:-1])
-        one = np.concatenate([rows[pairs + 1], rows[pairs]])
-        two = np.concatenate([rows[pairs], rows[pairs + 1]])
-        fresh = right[one] < 0
-        right[one[fresh]], right_other[one[fresh]] = ahead, two[fresh]
-        left[one], left_other[one] = back, two
-    found = np.flatnonzero(left >= 0)
+    keys, row, number = _windows(mine)
+    order = np.argsort(keys, kind="stable")
+    pairs = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
+    one = np.concatenate([order[pairs + 1], order[pairs]])
+    two = np.concatenate([order[pairs], order[pairs + 1]])
+    by_place = np.lexsort((number[one], row[one]))
+    one, two = one[by_place], two[by_place]
+    fresh = np.ones(len(one), dtype=bool)
+    fresh[1:] = row[one[1:]] != row[one[:-1]]
+    left = np.flatnonzero(fresh)
+    right = np.append(left[1:], len(one))[: len(left)] - 1
+    found, others = row[one[left]], (row[two[left]], row[two[right]])
     # A second row where the two ends were found with different texts.
-    other = np.concatenate([left_other[found], right_other[found]])
-    found = np.concatenate([found, found])
-    use = np.ones(len(found), dtype=bool)
-    half = len(found) // 2
-    use[half:] = other[half:] != other[:half]
-    found, other = found[use], other[use]
-    at = np.asarray(mine.column("at"))
-    size = length - span + 1
-    ids, rows = mine.column("id"), pa.array(found)
+    again = np.flatnonzero(others[0] != others[1])
+    at = np.asarray(mine.column("first"))
+    first, last = at[found] + number[one[left]], at[found] + number[one[right]] + length - 1
+    both = np.concatenate([np.arange(len(found)), again])
+    ids, rows = mine.column("id"), pa.array(found[both])
     return pa.RecordBatch.from_arrays(
         [
             ids.take(rows),
             mine.column("part").take(rows),
-            pa.array((at[found] - left[found]).astype(np.int32)),
-            pa.array((at[found] + size + right[found] - 1).astype(np.int32)),
-            ids.take(pa.array(other)),
+            pa.array(first[both].astype(np.int32)),
+            pa.array(last[both].astype(np.int32)),
+            ids.take(pa.array(np.concatenate([others[0], others[1][again]]))),
         ],
-        names=MATCH,
+        names=_names(MATCH),
     )
 
 
-def _swept(rows: pa.RecordBatch, edge: int | None = None) -> pa.RecordBatch:
-    """Rows in the columns of ``SWEPT``; what they do not have is null.
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
-    ``edge`` is 2 x the task for rows at its beginning, and one more for those at its end.
-    """
-    n = rows.num_rows
-    known = dict(zip(rows.schema.names, rows.columns, strict=True))
-    known["edge"] = pa.array([edge] * n, pa.int32())
-    columns = [
-        known[f.name].cast(f.type) if f.name in known else pa.nulls(n, f.type) for f in SWEPT_ARROW
-    ]
-    return pa.RecordBatch.from_arrays(columns, schema=SWEPT_ARROW)
 
-
-def _sweep(length: int, span: int) -> Callable:
-    """Matches among a task's sorted rows, and the rows at its two borders.
-
-    Rows of one head are looked at together, up to ``TOGETHER`` rows; in a longer run the
-    rows that are most alike lie next to each other.
-    """
+def _sweep(length: int) -> Callable:
+    """Matches among a task's sorted suffixes; those of one head are looked at together."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        begin = 2 * (context.partitionId() if context else 0)
-        first = carried = last = None
+        open_: list[pa.RecordBatch] = []
         for part in parts:
             if not part.num_rows:
                 continue
-            batch = part
-            if carried is not None:
-                batch = pa.Table.from_batches([carried, part]).combine_chunks().to_batches()[0]
-            heads = np.asarray(batch.column("head"))
-            if first is None:
-                first = heads[0]
-                yield _swept(batch.slice(0, min(BORDER, int((heads == first).sum()))), begin)
-            last = batch.slice(max(0, len(heads) - BORDER))
-            open_rows = int((heads == heads[-1]).sum())
-            done = len(heads) - open_rows if open_rows <= TOGETHER else len(heads)
-            yield _swept(_passages(batch.slice(0, done), length, span))
-            carried = batch.slice(done) if done < len(heads) else None
-        if carried is not None:
-            yield _swept(_passages(carried, length, span))
-        if last is not None:
-            yield _swept(last, begin + 1)
+            heads = np.asarray(part.column("head"))
+            done = int(np.searchsorted(heads, heads[-1]))
+            if open_ and (done or open_[-1].column("head")[0].as_py() != heads[0]):
+                yield _passages(_joined([*open_, part.slice(0, done)]), length)
+                open_ = []
+            elif done:
+                yield _passages(part.slice(0, done), length)
+            open_.append(part.slice(done))
+        if open_:
+            yield _passages(_joined(open_), length)
 
     return rows
 
 
+def _spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PLACE``: each passage of the suffixes."""
+    for part in parts:
+        for at in range(0, part.num_rows, 1000):
+            some = part.slice(at, 1000)
+            keys, row, number = _windows(some)
+            rows = pa.array(row)
+            first = np.asarray(some.column("first"))[row]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(keys.view(np.int64)),
+                    some.column("id").take(rows),
+                    some.column("part").take(rows),
+                    pa.array((first + number).astype(np.int32)),
+                    pa.array(first.astype(np.int32)),
+                    some.column("twice").take(rows),
+                ],
+                names=_names(PLACE),
+            )
+
+
+def _neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``NEIGHBOUR``: of a task's sorted passages those that are found again, without
+    ``key``, and the first and the last one, with ``key``."""
+
+    def made(batch: pa.RecordBatch, found: np.ndarray, other: np.ndarray | None) -> pa.RecordBatch:
+        rows, n = pa.array(found), len(found)
+        none = pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                none if other is not None else batch.column("key").take(rows),
+                *[batch.column(c).take(rows) for c in ("id", "part", "at", "suffix")],
+                none if other is None else batch.column("id").take(pa.array(other)),
+            ],
+            names=_names(NEIGHBOUR),
+        )
+
+    before, n = None, 0
+    for part in parts:
+        if not part.num_rows:
+            continue
+        if before is None:
+            yield made(part, np.array([0]), None)
+        n += part.num_rows
+        batch = part if before is None else _joined([before, part])
+        keys = np.asarray(batch.column("key"))
+        same = keys[1:] == keys[:-1]
+        later = np.flatnonzero(same) + 1
+        first = np.flatnonzero(same & ~np.append(False, same[:-1]))
+        twice = np.flatnonzero(np.asarray(batch.column("twice").to_numpy(zero_copy_only=False)))
+        found = np.concatenate([later, first, twice])
+        yield made(batch, found, np.concatenate([later - 1, first + 1, twice]))
+        before = batch.slice(batch.num_rows - 1)
+    if n > 1:
+        yield made(before, np.array([0]), None)
+
+
+def _frequent_matches(suffixes: DataFrame, length: int, partitions: int) -> DataFrame:
+    """Matches of suffixes with frequent heads, by a sort of all of their passages."""
+    # Equal rows become one, so that places differ.
+    once = suffixes.groupBy("id", "part", "first").agg(
+        F.first("windows").alias("windows"), (F.count("*") > 1).alias("twice")
+    )
+    order = ("key", "id", "part", "at")
+    places = stage(once, "frequent").mapInArrow(_spread, PLACE)
+    ordered = places.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    swept = stage(ordered.mapInArrow(_neighbours, NEIGHBOUR), "neighbours")
+    # Passages next to the borders between tasks: two per task at most.
+    place = F.struct("id", "part", "at", "suffix")
+    edges = (
+        swept.where("key IS NOT NULL")
+        .groupBy("key")
+        .agg(F.sort_array(F.collect_list(place)).alias("places"))
+        .where("size(places) > 1")
+        .select("places", F.posexplode("places").alias("turn", "p"))
+        .select("p.*", F.when(F.col("turn") == 0, F.col("places")[1]["id"]).otherwise(F.col("places")[0]["id"]).alias("other"))
+    )
+    found = swept.where("key IS NULL").drop("key").unionByName(edges)
+    ends = found.groupBy("id", "part", "suffix").agg(
+        F.min(F.struct("at", "other")).alias("left"), F.max(F.struct("at", "other")).alias("right")
+    )
+    others = F.explode(F.array_distinct(F.array("left.other", "right.other"))).alias("other")
+    last = (F.col("right.at") + F.lit(length - 1)).cast("int")
+    return ends.select("id", "part", F.col("left.at").alias("first"), last.alias("last"), others)
+
+
 def passage_matches(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -260,22 +298,21 @@ def passage_matches(
         F.col(f"`{doc_id}`").cast("long").alias("id"), F.xxhash64(body).alias("part"), body.alias("text")
     )
     suffixes = packed.mapInArrow(_suffix_rows(length, span, group), SUFFIX)
-    order = ("head", "tail", "id", "part", "at")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = suffixes.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    swept = stage(ordered.mapInArrow(_sweep(length, span), SWEPT), "matches")
-    names = [c.split()[0] for c in SUFFIX.split(", ")]
-    # Rows on both sides of a border: the end of a task and the beginning of the next one
-    # that has rows. The driver gets the numbers of the tasks.
-    edges = swept.where("edge IS NOT NULL")
-    tasks = sorted(r[0] for r in edges.select(F.expr("edge DIV 2")).distinct().collect())
-    turn = F.array_position(F.lit(tasks).cast("array<bigint>"), F.expr("edge DIV 2"))
-    border = (turn + F.expr("edge % 2")).alias("border")
-    # A row next to two borders is compared across each; heads of other borders differ.
-    sides = edges.select(border, *names).withColumn("head", F.xxhash64("head", "border"))
-    sides = sides.repartition(partitions, "border").drop("border").sortWithinPartitions(*order)
-    across = sides.mapInArrow(_sweep(length, span), SWEPT)
-    return swept.unionByName(across).where("edge IS NULL").select(*MATCH)
+    counts = packed.select("text").mapInArrow(_head_counts(length, span, group), "head long, n long")
+    frequent = counts.groupBy("head").agg(F.sum("n").alias("n")).where(F.col("n") > TOGETHER)
+    frequent = stage(frequent, "frequent-heads")
+    [(heads, rows)] = frequent.agg(F.count("*"), F.sum("n")).collect()
+    if heads > BROADCAST_HEADS:
+        frequent = frequent.where(F.col("n") > rows // BROADCAST_HEADS)
+    frequent = F.broadcast(frequent.select("head"))
+    rare = suffixes.join(frequent, "head", "left_anti") if heads else suffixes
+    rare = rare.repartition(partitions, "head").sortWithinPartitions("head", "id", "part", "first")
+    found = rare.mapInArrow(_sweep(length), MATCH)
+    if not heads:
+        return found
+    hot = suffixes.join(frequent, "head", "left_semi")
+    return found.unionByName(_frequent_matches(hot, length, partitions))
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:

@@ -58,3 +58,30 @@ def test_odd_rows(frame, odd_rows):
 
 def test_empty_table(frame):
     assert suffixes.repeated_passages(frame([])).collect() == []
+
+
+@pytest.mark.parametrize("together", [1_000, 8])
+def test_frequent_line_with_other_passages_around_it(spark, frame, monkeypatch, together):
+    """Only two texts share the words before (or after) a line that all texts have."""
+    monkeypatch.setattr(suffixes, "TOGETHER", together)
+    line = [f"hot{i}" for i in range(40)]
+    rows = []
+    for i in range(1500):
+        before = [f"b{i % 750}w{j}" for j in range(10)] if i % 3 == 0 else [f"b{i}x{j}" for j in range(10)]
+        after = [f"a{i}y{j}" for j in range(27)]
+        rows.append((i, " ".join(before + line + after)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        found = got(suffixes.repeated_passages(frame(rows)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert found == plain(rows, 50)
+
+
+def test_equal_rows_with_a_frequent_head(frame, monkeypatch):
+    monkeypatch.setattr(suffixes, "TOGETHER", 2)
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(None, passage)] * 9 + [(1, passage + " end"), (2, None)]
+    assert got(suffixes.repeated_passages(frame(rows))) == plain(rows, 50)
