@@ -85,3 +85,14 @@ def test_equal_rows_with_a_frequent_head(frame, monkeypatch):
     passage = " ".join(f"p{i}" for i in range(70))
     rows = [(None, passage)] * 9 + [(1, passage + " end"), (2, None)]
     assert got(suffixes.repeated_passages(frame(rows))) == plain(rows, 50)
+
+
+@pytest.mark.parametrize("together", [1_000, 1])
+def test_words_that_differ_in_a_few_bits_only(frame, monkeypatch, together):
+    """The hashes of these two words agree in the 24 bits that once stood for a word."""
+    monkeypatch.setattr(suffixes, "TOGETHER", together)
+    passage = [f"p{i}" for i in range(49)]
+    rows = [(i, " ".join([f"a{i}", *passage, word])) for i, word in enumerate(["c17992", "c23170"])]
+    rows += [(i + 2, " ".join([word, *passage, f"z{i}"])) for i, word in enumerate(["c17992", "c23170"])]
+    found = got(suffixes.repeated_passages(frame(rows)))
+    assert found == plain(rows, 50) and not sum(n for _, _, n in found)
