@@ -23,6 +23,8 @@ KEYS = (ENTITY, YEAR)
 
 SAMPLE_ROWS = 256
 POOL_FACTOR = 10
+#: Equal rows that are numbered in one piece.
+COPIES = 10_000
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, path double"
 )
@@ -107,22 +109,36 @@ class IsolationForest:
         return scored.withColumn("decision", decision).withColumn("is_anomaly", decision < 0)
 
 
+def _ticket(seed: int, *columns) -> Column:
+    """Uniform in [0, 1), by the columns."""
+    word = F.xxhash64(F.lit(seed), *columns)
+    return F.pmod(word, F.lit(1 << 52)).cast("double") / float(1 << 52)
+
+
 def _pool(df: DataFrame, features: list[str], wanted: int, seed: int) -> tuple[DataFrame, int]:
     """Staged rows to draw from, and the number of complete rows of ``df``.
 
-    All rows when they are few, else a uniform sample of bounded size. Equal rows are
-    numbered, so that they are drawn one by one.
+    All rows when they are few, else a uniform sample of bounded size. Equal rows are counted
+    and numbered, so that they are drawn one by one; a row is taken by a hash of its content
+    and number, so the layout does not matter.
     """
     rows = df.select(*[numeric(df, name).alias(f"f{i}") for i, name in enumerate(features)])
     names = rows.columns
     for name in names:
         rows = rows.where(is_finite(F.col(name)))
     n = rows.count()
-    if n > 2 * wanted:
-        rows = rows.sample(fraction=wanted / n, seed=seed)
-    staged = stage(rows, "isolation-pool")
-    copies = Window.partitionBy(*names).orderBy(F.lit(0))
-    return staged.withColumn("copy", F.row_number().over(copies)), n
+    share = wanted / n if n > 2 * wanted else 1.0
+    counted = rows.groupBy(*names).agg(F.count("*").alias("copies"))
+    # Numbers of frequent content are dealt over the tasks, so many at a time.
+    first = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"), F.lit(COPIES).cast("long")))
+    parts = counted.select(*names, "copies", first.alias("first"))
+    last = F.least(F.col("copies"), F.col("first") + (COPIES - 1))
+    taken = F.filter(
+        F.sequence(F.col("first"), last),
+        lambda c: _ticket(seed, F.lit("pool"), *[F.col(x) for x in names], c) < share,
+    )
+    dealt = parts.repartition(*names, "first")
+    return stage(dealt.select(*names, F.explode(taken).alias("copy")), "isolation-pool"), n
 
 
 def _drawn(pool: DataFrame, n_pool: int, trees: int, psi: int, seed: int) -> DataFrame:
@@ -135,9 +151,7 @@ def _drawn(pool: DataFrame, n_pool: int, trees: int, psi: int, seed: int) -> Dat
     names = [name for name in pool.columns if name.startswith("f")]
 
     def ticket(tree: Column) -> Column:
-        """Uniform in [0, 1)."""
-        word = F.xxhash64(F.lit(seed), tree, *[F.col(x) for x in names], F.col("copy"))
-        return F.pmod(word, F.lit(1 << 52)).cast("double") / float(1 << 52)
+        return _ticket(seed, tree, *[F.col(x) for x in names], F.col("copy"))
 
     chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: ticket(t) < share)
     emitted = pool.withColumn("tree", F.explode(chosen)).withColumn("ticket", ticket(F.col("tree")))

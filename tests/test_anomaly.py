@@ -114,3 +114,20 @@ def test_lists_break_ties_by_key(spark):
     df = spark.createDataFrame([(3, 2010, 1.0), (1, 2010, 1.0), (2, 2010, 2.0)], "`Company Code` bigint, Year int, s double")
     assert [r[0] for r in anomaly.top_anomalies(df, 2, score="s").collect()] == [2, 1]
     assert [r[0] for r in anomaly.lowest_scores(df, 2, score="s").collect()] == [1, 3]
+
+
+def test_pool_does_not_depend_on_the_layout(planted, monkeypatch):
+    df = planted.select(*NAMES).union(planted.sparkSession.range(700).select(*[F.lit(1.0)] * 3))
+    key = lambda pool: sorted(tuple(r) for r in pool.collect())
+    pools = [key(anomaly._pool(df.repartition(n), NAMES, 200, 42)[0]) for n in (1, 7)]
+    assert pools[0] == pools[1] and 120 < len(pools[0]) < 280
+    monkeypatch.setattr(anomaly, "POOL_FACTOR", 0.02)
+    ranked = [anomaly.isoforest_raw(planted.repartition(n), NAMES, trees=20).collect() for n in (1, 7)]
+    assert ranked[0] == ranked[1]
+
+
+def test_copies_are_numbered_in_pieces(planted, monkeypatch):
+    monkeypatch.setattr(anomaly, "COPIES", 30)
+    same = planted.sparkSession.range(1000).select(*[F.lit(1.0).alias(n) for n in NAMES])
+    pool, n = anomaly._pool(same, NAMES, 10_000, 1)
+    assert n == 1000 and sorted(r["copy"] for r in pool.collect()) == list(range(1, 1001))
