@@ -33,17 +33,25 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/creditloom/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def remove_staged(spark: SparkSession) -> None:
-    """Delete the staged tables of this application; call it when their results are written."""
+def remove_path(spark: SparkSession, folder: str) -> None:
+    """Delete a staged table that nothing reads any more, such as the last round's."""
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(
-        f"{staging_root(spark)}/creditloom/{context.applicationId}"
-    )
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet and return it as a scan of that table."""
+def remove_staged(spark: SparkSession) -> None:
+    """Delete the staged tables of this application; call it when their results are written."""
+    remove_path(spark, f"{staging_root(spark)}/creditloom/{spark.sparkContext.applicationId}")
+
+
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``stage``, with the table's folder, for ``remove_path``."""
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet and return it as a scan of that table."""
+    return stage_at(df, name)[0]
