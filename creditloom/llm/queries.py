@@ -14,9 +14,11 @@ from creditloom.llm import (
     sql,
     suffixes,
     urls,
+    vector_codes,
     winnow,
 )
 from creditloom.llm.registry import ORACLES, QUERIES, query, table
+from creditloom.operators.joins import lookup_join
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -181,3 +183,25 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("trained", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query(sql.OP13)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    found = vector_codes.compress(vectors, parts=8, entries=16, rounds=6, scale=4096)
+    # Rows without a label are a group like any other.
+    group = F.coalesce(F.concat(F.lit("="), F.col("row.label").cast("string")), F.lit("none"))
+    coded = found.rows.select(
+        F.col("row.vec_id").alias("vec_id"),
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        group.alias("label_group"),
+    )
+    totals = coded.groupBy("label_group").agg(F.sum("error").alias("label_error"))
+    return lookup_join(coded, totals, ["label_group"]).select(
+        "vec_id",
+        "code",
+        "error",
+        "label_error",
+        F.lit(found.digest()).alias("codebooks_sha256"),
+    )

@@ -153,3 +153,68 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(n_turns AS BIGINT) AS n_turns, s
        CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars
 FROM g
 """
+
+
+def _op13(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Rounds of assignment (a0, a1, ...) and new entries (b0, b1, ...), one after the other."""
+    steps = [
+        f"""
+v AS (
+  SELECT vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings
+  WHERE len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, part, c[part * len(c) // {parts} + 1 : (part + 1) * len(c) // {parts}] AS x
+  FROM v, (SELECT unnest(range({parts})) AS part)),
+b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS c
+  FROM p QUALIFY entry < {entries})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""
+a{i} AS MATERIALIZED (
+  SELECT part, vec_id, any_value(x) AS x, arg_min(entry, away * {entries} + entry) AS entry,
+         min(away) AS away
+  FROM (SELECT p.part, vec_id, x, entry,
+               list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS away
+        FROM p JOIN b{i} ON p.part = b{i}.part)
+  GROUP BY part, vec_id)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""
+b{i + 1} AS MATERIALIZED (
+  SELECT b{i}.part, b{i}.entry, coalesce(m.c, b{i}.c) AS c
+  FROM b{i} LEFT JOIN (
+    SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY k) AS c
+    FROM (SELECT part, entry, k, CAST(sum(z) AS BIGINT) AS s, count(*) AS n
+          FROM (SELECT part, entry, unnest(x) AS z, unnest(range(len(x))) AS k FROM a{i})
+          GROUP BY part, entry, k)
+    GROUP BY part, entry) m
+  ON b{i}.part = m.part AND b{i}.entry = m.entry)"""
+            )
+    steps.append(
+        f"""
+digest AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256
+  FROM b{rounds}),
+coded AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code,
+         CAST(sum(away) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id)"""
+    )
+    return (
+        "WITH "
+        + ",".join(steps)
+        + """
+SELECT vec_id, code, error,
+       CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM coded JOIN v USING (vec_id), digest
+"""
+    )
+
+
+OP13 = _op13()
