@@ -13,12 +13,14 @@ from creditloom.llm import (
     simhash,
     sql,
     suffixes,
+    trie,
     urls,
     vector_codes,
     winnow,
 )
 from creditloom.llm.registry import ORACLES, QUERIES, query, table
 from creditloom.operators.joins import lookup_join
+from creditloom.staging import stage
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -205,3 +207,36 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "label_error",
         F.lit(found.digest()).alias("codebooks_sha256"),
     )
+
+
+#: Turns that a conversation borrows at most, less one.
+BORROWED = 6
+
+
+def _rebuilt(convs: DataFrame) -> DataFrame:
+    """Conversations that begin with the first h turns of conversation id - id % 100."""
+    donor = F.col("id") - F.col("id") % 100
+    h = (F.crc32(F.col("id").cast("string").cast("binary")) % BORROWED).cast("int")
+    heads = convs.where(F.col("id") % 100 == 0).select(
+        F.col("id").alias("donor"), F.slice("turns", 1, BORROWED - 1).alias("head")
+    )
+    own = convs.withColumns({"donor": donor, "h": h})
+    own = own.withColumn("rest", F.slice("turns", F.col("h") + 1, F.greatest(F.size("turns"), F.lit(1))))
+    head = F.coalesce(F.slice("head", F.lit(1), F.col("h")), F.slice("turns", 1, 0))
+    return own.join(heads, "donor", "left").select("id", F.concat(head, "rest").alias("turns"))
+
+
+@query(sql.OP12)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = trie.gather_turns(table(spark, sf_dir, "conversations"))
+    nodes = trie.prefix_trie(_rebuilt(stage(convs, "conversations")))
+    return nodes.select(
+        F.col("first").alias("conv_id"),
+        "depth",
+        F.col("parent_first").alias("parent_conv_id"),
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        "saved_tokens",
+        "ends_sha256",
+    )

@@ -218,3 +218,43 @@ FROM coded JOIN v USING (vec_id), digest
 
 
 OP13 = _op13()
+
+OP12 = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (  -- crc32 of the decimal digits, bit by bit
+  SELECT c, xor(list_reduce(
+           list_concat([4294967295::UBIGINT],
+                       list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ascii(s)::UBIGINT)),
+           lambda crc, byte: list_reduce(
+             list_concat([xor(crc, byte)], list_transform(range(8), lambda z: 0::UBIGINT)),
+             lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id AS c FROM t)),
+r AS (
+  SELECT c, 0 AS own, i, role, text FROM c JOIN t ON t.conv_id = c - c % 100 AND i <= h
+  UNION ALL
+  SELECT c, 1 AS own, i, role, text FROM c JOIN t ON t.conv_id = c AND i > h),
+x AS (
+  SELECT c.c AS c, coalesce(s.x, []) AS x FROM c LEFT JOIN (
+    SELECT c, list({'role': role, 'text': text} ORDER BY own, i) AS x FROM r GROUP BY c) s ON c.c = s.c),
+n AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (whole), '') AS ends,
+         CASE WHEN d > 0 THEN length(p[d].text) ELSE 0 END AS chars
+  FROM (SELECT c, d, x[1 : d] AS p, d = len(x) AS whole
+        FROM (SELECT c, x, unnest(range(len(x) + 1)) AS d FROM x))
+  GROUP BY p, d),
+k AS (SELECT p[1 : d - 1] AS p, d - 1 AS d, count(*) AS n FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k ON n.d = k.d AND n.p = k.p),
+u AS (
+  SELECT p[1 : a] AS p, a AS d, count(*) FILTER (n_children = 0) AS n_leaves,
+         sum((n_convs - 1) * chars) AS saved
+  FROM (SELECT m.*, unnest(range(d + 1)) AS a FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.d AS depth, above.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(m.ends) AS ends_sha256
+FROM m JOIN u ON m.d = u.d AND m.p = u.p
+LEFT JOIN n above ON above.d = m.d - 1 AND above.p = m.p[1 : m.d - 1]
+"""
