@@ -16,6 +16,7 @@ from creditloom.llm import (
     trie,
     urls,
     vector_codes,
+    vector_dedup,
     winnow,
 )
 from creditloom.llm.registry import ORACLES, QUERIES, query, table
@@ -240,3 +241,14 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         "saved_tokens",
         "ends_sha256",
     )
+
+
+@query(sql.OP11)
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return vector_dedup.near_duplicates(vectors, threshold=0.93).select(
+        F.col("row.vec_id").alias("vec_id"),
+        "n_links",
+        F.col("component").alias("component_id"),
+        "kept",
+    )

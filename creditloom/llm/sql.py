@@ -258,3 +258,25 @@ SELECT m.conv_id, m.d AS depth, above.conv_id AS parent_conv_id, m.n_convs, m.n_
 FROM m JOIN u ON m.d = u.d AND m.p = u.p
 LEFT JOIN n above ON above.d = m.d - 1 AND above.p = m.p[1 : m.d - 1]
 """
+
+OP11 = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+u AS MATERIALIZED (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS size FROM v),
+e AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.93),
+r AS (
+  SELECT a AS vec_id, a AS low FROM e
+  UNION
+  SELECT e.b, r.low FROM r JOIN e ON r.vec_id = e.a WHERE r.low < e.b),
+c AS (SELECT vec_id, min(low) AS low FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT w.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.low, w.vec_id) AS component_id,
+       coalesce(c.low, w.vec_id) = w.vec_id AS kept
+FROM embeddings w LEFT JOIN c ON w.vec_id = c.vec_id LEFT JOIN n ON w.vec_id = n.vec_id
+"""
