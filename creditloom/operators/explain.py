@@ -2,20 +2,21 @@
 attributions of a forest's score to the features."""
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import RandomForestClassificationModel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditloom.catalog import ENTITY, YEAR
 from creditloom.functions.columns import col, is_finite, key_hash, key_hash52, numeric
-from creditloom.operators.models import Classifier
+from creditloom.operators import forest
+from creditloom.operators.models import ForestClassifier
 from creditloom.operators.quantiles import order_statistics
-from creditloom.staging import stage, staging_path
+from creditloom.staging import stage
 
 KEYS = (ENTITY, YEAR)
 
@@ -23,6 +24,8 @@ BUCKET_ROWS = 20_000
 GRID_POINTS = 100
 BLOCK_NODES = 2_000_000
 CELLS = 2_000_000
+# Copies of one row that are made in one go.
+COPIES = 10_000
 TABLE_TESTS = 6
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -43,15 +46,16 @@ def permutation_importance(
     Rows go to random buckets once, and in each repeat a row takes the feature of the
     next row in a random order of its bucket (the last one that of the first), so each
     repeat permutes every feature's values. All features and repeats are scored in one
-    job. ``row_id`` must be unique; a number is given to each row by default.
+    job. ``row_id`` must be unique; by default it is the hash of the row's content and a
+    number among equal rows, so the layout does not matter.
     """
     names = [f"x{i}" for i in range(len(features))]
     lean = df.select(
-        (F.monotonically_increasing_id() if row_id is None else row_id).alias("id"),
+        (F.lit(None) if row_id is None else row_id).alias("id"),
         col(label).cast("int").alias("label"),
         *[numeric(df, f).alias(x) for f, x in zip(features, names)],
     )
-    rows = stage(lean, "permutation")
+    rows = stage(lean if row_id is not None else _numbered(lean, ["label", *names]), "permutation")
     buckets = max(1, rows.count() // bucket_rows)
     placed = rows.withColumn("bucket", key_hash(F.col("id"), F.lit("bucket")) % buckets)
     donors = {}
@@ -96,6 +100,21 @@ def permutation_importance(
     )
 
 
+def _numbered(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``id`` from the content and a number among equal rows.
+
+    Equal rows are counted on the map side and made again from the count, in pieces, so any
+    number of them is spread over the tasks.
+    """
+    counted = df.groupBy(*columns).agg(F.count("*").alias("copies"))
+    pieces = F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))
+    dealt = counted.withColumn("start", F.explode(pieces)).repartition(*columns, "start")
+    last = F.least(F.col("start") + COPIES, F.col("copies")) - 1
+    made = dealt.withColumn("copy", F.explode(F.sequence("start", last)))
+    content = F.xxhash64(*columns).cast("string")
+    return made.select(F.concat_ws("|", content, F.col("copy").cast("string")).alias("id"), *columns)
+
+
 def top_features(importance: DataFrame, n: int = 15) -> DataFrame:
     return importance.orderBy(F.col("importance").desc(), "feature").limit(n)
 
@@ -184,6 +203,36 @@ def partial_dependence(
     return scored.select(name.alias("feature"), "grid_value", "mean_p_ig")
 
 
+def forest_dependence(
+    fitted: ForestClassifier,
+    df: DataFrame,
+    shown: list[str] | None = None,
+    points: int = GRID_POINTS,
+    grids: dict[str, list[float]] | None = None,
+) -> DataFrame:
+    """``partial_dependence`` of a forest: each row goes once down the trees per feature,
+    whatever the number of grid values. Rows with a feature that is not finite are left out."""
+    shown = shown or fitted.features
+    grids = grids or dependence_grids(df, shown, points)
+    places = {fitted.features.index(name): name for name in shown if grids[name]}
+    rows = df.select(fitted.vector(df).alias("x"))
+    rows = rows.where(F.forall("x", lambda v: v.isNotNull() & is_finite(v)))
+    settings = [
+        F.struct(F.lit(i).cast("long").alias("feature"), F.lit(name).alias("name"), F.lit(k).cast("long").alias("point"), F.lit(float(v)).alias("grid_value"))
+        for i, name in places.items()
+        for k, v in enumerate(sorted(grids[name]))
+    ]
+    result = "feature string, grid_value double, mean_p_ig double"
+    if not settings:
+        return df.sparkSession.createDataFrame([], result)
+    values = df.sparkSession.range(1).select(F.inline(F.array(*settings)))
+    means = fitted.forest.dependence(rows, {i: sorted(grids[name]) for i, name in places.items()})
+    joined = means.join(F.broadcast(values), ["feature", "point"])
+    return joined.select(
+        F.col("name").alias("feature"), "grid_value", F.col("mean").alias("mean_p_ig")
+    )
+
+
 @dataclass
 class _Leaves:
     """Leaves of a forest whose paths test the same number of features.
@@ -200,29 +249,53 @@ class _Leaves:
     table: np.ndarray | None = None
 
 
-def _tree_leaves(nodes: pd.DataFrame) -> list[tuple]:
-    """(value, {feature: (low, high, share)}) for each leaf: the interval in which the
-    feature has to lie, and the part of the rows that takes this side of its splits."""
-    table = nodes.set_index("id")
-    left, right = table["left"].to_dict(), table["right"].to_dict()
-    feature, threshold = table["feature"].to_dict(), table["threshold"].to_dict()
-    cover, value = table["cover"].to_dict(), table["value"].to_dict()
-    leaves = []
-    todo: list[tuple[int, dict]] = [(0, {})]
+LEAF = (
+    "tree long, value double, weight double, size int, feature array<int>, low array<double>, "
+    "high array<double>, share array<double>"
+)
+
+
+def _tree_leaves(table: pa.Table) -> pa.Table:
+    """Leaves of one tree: for each feature that its path tests the interval in which the
+    feature has to lie, and the part of the rows that takes this side of its splits.
+
+    ``weight`` is the part of the tree's mean score that comes from the leaf.
+    """
+    columns = {c: table.column(c).to_pylist() for c in table.column_names}
+    nodes = {i: k for k, i in enumerate(columns["id"])}
+    left, right, cover = columns["left"], columns["right"], columns["cover"]
+    rows = []
+    todo: list[tuple[int, dict]] = [(nodes[0], {})]
     while todo:
         node, path = todo.pop()
         if left[node] < 0:
-            leaves.append((value[node], path))
+            tests = list(path.values())
+            value = columns["value"][node]
+            rows.append(
+                {
+                    "tree": columns["tree"][node],
+                    "value": value,
+                    "weight": value * math.prod(t[2] for t in tests),
+                    "size": len(path),
+                    "feature": list(path),
+                    "low": [t[0] for t in tests],
+                    "high": [t[1] for t in tests],
+                    "share": [t[2] for t in tests],
+                }
+            )
             continue
-        f, t = feature[node], threshold[node]
-        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
+        f, t = columns["feature"][node], columns["threshold"][node]
+        low, high, share = path.get(f, (-math.inf, math.inf, 1.0))
         for child, bounds in (
-            (left[node], (low, min(high, t))),
-            (right[node], (max(low, t), high)),
+            (nodes[left[node]], (low, min(high, t))),
+            (nodes[right[node]], (max(low, t), high)),
         ):
             part = share * cover[child] / cover[node] if cover[node] else 0.0
             todo.append((child, {**path, f: (*bounds, part)}))
-    return leaves
+    lists = {"feature": pa.int32(), "low": pa.float64(), "high": pa.float64(), "share": pa.float64()}
+    kinds = {"tree": pa.int64(), "value": pa.float64(), "weight": pa.float64(), "size": pa.int32()}
+    kinds |= {c: pa.list_(k) for c, k in lists.items()}
+    return pa.Table.from_pylist(rows, schema=pa.schema(list(kinds.items())))
 
 
 def _effects(through: np.ndarray, share: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -260,29 +333,23 @@ def _pattern_table(share: np.ndarray, value: np.ndarray) -> np.ndarray:
     return _effects(through, share, value).transpose(1, 0, 2)
 
 
-def _group_leaves(leaves: list[tuple], trees: int) -> tuple[list[_Leaves], float]:
-    """Leaves by path size, with values divided by the number of trees, and the mean
-    score of the forest."""
-    base = 0.0
-    by_size: dict[int, list] = {}
-    for value, path in leaves:
-        base += value / trees * math.prod(share for _, _, share in path.values())
-        if path:
-            by_size.setdefault(len(path), []).append((value / trees, path))
+def _group_leaves(block: pa.Table, trees: int) -> list[_Leaves]:
+    """Leaves by path size, with values divided by the number of trees."""
     groups = []
-    for size, members in by_size.items():
-        tests = [list(path.values()) for _, path in members]
+    for size in sorted(set(block.column("size").to_pylist()) - {0}):
+        own = block.filter(pc.equal(block.column("size"), size))
+        flat = lambda c: forest.matrix(own, c)  # noqa: B023, E731
         group = _Leaves(
-            feature=np.array([list(path) for _, path in members]),
-            low=np.array([[t[0] for t in ts] for ts in tests]),
-            high=np.array([[t[1] for t in ts] for ts in tests]),
-            share=np.array([[t[2] for t in ts] for ts in tests]),
-            value=np.array([v for v, _ in members]),
+            feature=flat("feature"),
+            low=flat("low"),
+            high=flat("high"),
+            share=flat("share"),
+            value=own.column("value").to_numpy() / trees,
         )
         if size <= TABLE_TESTS:
             group.table = _pattern_table(group.share, group.value)
         groups.append(group)
-    return groups, base
+    return groups
 
 
 def _leaf_effects(rows: np.ndarray, leaves: _Leaves) -> np.ndarray:
@@ -316,59 +383,31 @@ def attribute_rows(rows: np.ndarray, groups: list[_Leaves]) -> np.ndarray:
     return out
 
 
-def forest_nodes(spark: SparkSession, model: RandomForestClassificationModel) -> DataFrame:
-    """Nodes of the trees from the saved form of the model."""
-    path = staging_path(spark, "forest")
-    model.save(path)
-    data = spark.read.load(f"{path}/data")
-    node = F.col("nodeData")
-    stats = node["impurityStats"]
-    cover = F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
-    return data.select(
-        F.col("treeID").alias("tree"),
-        node["id"].alias("id"),
-        node["leftChild"].alias("left"),
-        node["rightChild"].alias("right"),
-        node["split"]["featureIndex"].alias("feature"),
-        F.try_element_at(node["split"]["leftCategoriesOrThreshold"], F.lit(1)).alias("threshold"),
-        cover.alias("cover"),
-        F.try_divide(stats[1], cover).alias("value"),
-    )
-
-
-def _forest_blocks(
-    spark: SparkSession, model: RandomForestClassificationModel
-) -> Iterator[tuple[list[_Leaves], float]]:
-    """The forest in blocks of trees with at most about ``BLOCK_NODES`` nodes.
+def forest_leaves(grown: forest.Forest) -> tuple[DataFrame, int]:
+    """Staged leaves of all trees, and the number of blocks of at most about ``BLOCK_NODES``
+    nodes that they are dealt into.
 
-    The forest is on the driver already as part of the fitted model; a block bounds what
-    is sent to the tasks at a time.
+    The leaves of a tree are made in one task, where its nodes meet; a block may hold any
+    part of a tree.
     """
-    nodes = forest_nodes(spark, model).toPandas()
-    trees = model.getNumTrees
-    block: list[tuple] = []
-    size = 0
-    for _, tree in nodes.groupby("tree"):
-        block += _tree_leaves(tree)
-        size += len(tree)
-        if size >= BLOCK_NODES:
-            yield _group_leaves(block, trees)
-            block, size = [], 0
-    if block:
-        yield _group_leaves(block, trees)
+    leaves = grown.nodes.groupBy("tree").applyInArrow(_tree_leaves, LEAF)
+    blocks = max(1, -(-grown.nodes.count() // (2 * BLOCK_NODES)))
+    block = F.pmod(F.xxhash64("tree", "feature", "low", "high"), F.lit(blocks))
+    dealt = leaves.withColumn("block", block).repartition(blocks, "block")
+    return stage(dealt, "leaves"), blocks
 
 
 def _attributed(
-    fitted: Classifier, df: DataFrame, keys
+    fitted: ForestClassifier, df: DataFrame, keys
 ) -> tuple[DataFrame, list[Column], float]:
     """Rows with one value column per feature, those columns as (feature, value) structs,
     and the base value. Rows with a feature that is not finite are left out.
 
-    Each block of trees adds its leaves to the value columns in a pass over the batches
+    Each block of leaves is added to the value columns in a pass over the batches
     of a task; no row is shuffled, and rows with the same key stay apart.
     """
     names = fitted.features
-    spark = df.sparkSession
+    spark, trees = df.sparkSession, fitted.forest.trees
     inputs = [f"x{i}" for i in range(len(names))]
     outputs = [f"v{i}" for i in range(len(names))]
     rows = df.select(
@@ -379,10 +418,11 @@ def _attributed(
     for x in inputs:
         rows = rows.where(is_finite(F.col(x)))
     schema = rows.schema
-    base = 0.0
-    for groups, block_base in _forest_blocks(spark, fitted.model.stages[-1]):
-        shared = spark.sparkContext.broadcast(groups)
-        base += block_base
+    leaves, blocks = forest_leaves(fitted.forest)
+    base = leaves.agg(F.sum("weight")).first()[0] / trees
+    for block in range(blocks):
+        own = leaves.where(F.col("block") == block).drop("block").toArrow()
+        shared = spark.sparkContext.broadcast(_group_leaves(own, trees))
 
         def add_block(batches, shared=shared):
             for batch in batches:
@@ -397,7 +437,7 @@ def _attributed(
     return rows, pairs, base
 
 
-def tree_attributions(fitted: Classifier, df: DataFrame, keys=KEYS) -> DataFrame:
+def tree_attributions(fitted: ForestClassifier, df: DataFrame, keys=KEYS) -> DataFrame:
     """(keys, feature, value, base_value) for every row with finite features.
 
     The values of a row and the base value add up to the forest's P(IG).
@@ -407,7 +447,7 @@ def tree_attributions(fitted: Classifier, df: DataFrame, keys=KEYS) -> DataFrame
     return long.withColumn("base_value", F.lit(base))
 
 
-def shap_global(fitted: Classifier, keys=KEYS) -> DataFrame:
+def shap_global(fitted: ForestClassifier, keys=KEYS) -> DataFrame:
     """Mean absolute attribution per feature over all training rows."""
     values = tree_attributions(fitted, fitted.train, keys)
     return values.groupBy("feature").agg(
@@ -426,7 +466,7 @@ def top_attributions(
     return ranked.where(F.col("rank") <= n)
 
 
-def shap_row(fitted: Classifier, df: DataFrame, keys=KEYS, n: int = 12) -> DataFrame:
+def shap_row(fitted: ForestClassifier, df: DataFrame, keys=KEYS, n: int = 12) -> DataFrame:
     """The strongest attributions of each row of ``df``, ranked inside the row."""
     rows, pairs, base = _attributed(fitted, df, keys)
     ranked = [

@@ -5,7 +5,7 @@ from functools import cached_property
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -17,6 +17,7 @@ from creditloom.catalog import ENTITY, YEAR
 from creditloom.functions.columns import col, is_finite, numeric
 from creditloom.operators.evaluate import holdout_metrics
 from creditloom.operators.features import fold_number, in_train, split_stratified
+from creditloom.operators.forest import FINISH_ROWS, Forest, grow_forest
 from creditloom.staging import stage
 
 KEYS = (ENTITY, YEAR)
@@ -48,21 +49,33 @@ def _few_tasks(df: DataFrame, n: int) -> DataFrame:
 
 
 @dataclass
-class Classifier:
-    """A fitted model with the rows of its two parts."""
+class _Fitted:
+    """What classifiers share: the rows of both parts, the scored test part, its metrics."""
 
-    model: PipelineModel
     features: list[str]
     train: DataFrame
     test: DataFrame
     keys: tuple[str, ...] = KEYS
 
+    def predict(self, df: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
     @cached_property
     def holdout(self) -> DataFrame:
         """Scored rows of the test part, written when they are first asked for."""
         kept = [*[col(k) for k in self.keys], "label", *[col(name) for name in self.features]]
         return stage(self.predict(self.test).select(*kept, "p_ig", "prediction"), "holdout")
 
+    def metrics(self) -> DataFrame:
+        return holdout_metrics(self.holdout, score="p_ig", prediction="prediction")
+
+
+@dataclass(kw_only=True)
+class Classifier(_Fitted):
+    """A fitted spark.ml pipeline."""
+
+    model: PipelineModel
+
     def predict(self, df: DataFrame) -> DataFrame:
         """Add ``p_ig`` and ``prediction`` to every row, in place of columns of these names.
 
@@ -82,8 +95,26 @@ class Classifier:
             "prediction",
         )
 
-    def metrics(self) -> DataFrame:
-        return holdout_metrics(self.holdout, score="p_ig", prediction="prediction")
+
+@dataclass(kw_only=True)
+class ForestClassifier(_Fitted):
+    """A fitted forest."""
+
+    forest: Forest
+
+    def vector(self, df: DataFrame):
+        return F.array(*[numeric(df, name) for name in self.features])
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Add ``p_ig`` and ``prediction`` to every row, in place of columns of these names."""
+        row = F.struct(*[col(c) for c in df.columns]).alias("__row")
+        scored = self.forest.add_scores(df.select(row, self.vector(df).alias("x")), score="p_ig")
+        kept = [c for c in df.columns if c.lower() not in ("p_ig", "prediction")]
+        return scored.select(
+            *[F.col("__row").getField(c).alias(c) for c in kept],
+            "p_ig",
+            (F.col("p_ig") > 0.5).cast("double").alias("prediction"),
+        )
 
 
 def _labelled(df: DataFrame, features: list[str], keys) -> DataFrame:
@@ -128,7 +159,7 @@ def _fit(
     train = parts.where("is_train").drop("is_train")
     model = estimator.fit(_few_tasks(with_inputs(train, features), sizes.train))
     test = parts.where(~F.col("is_train")).drop("is_train")
-    return Classifier(model, features, train, test, tuple(keys))
+    return Classifier(features, train, test, tuple(keys), model=model)
 
 
 def train_lr(
@@ -157,43 +188,33 @@ def train_rf(
     keys=KEYS,
     trees: int = 400,
     max_depth: int = 30,
-    max_bins: int = 64,
+    min_leaf: int = 2,
     seed: int = 42,
-) -> Classifier | None:
+    finish: int = FINISH_ROWS,
+) -> ForestClassifier | None:
     """Random forest with balanced class weights on a stratified 80 % of the rows."""
-    rows = stage(_labelled(df, features, keys).dropna(subset=features), "rf")
+    labelled = _labelled(df, features, keys)
+    for name in features:
+        labelled = labelled.where(is_finite(col(name)))
+    rows = stage(labelled, "rf")
     parts = split_stratified(rows, keys=keys)
     sizes = _sizes(parts)
     if not sizes.usable(MIN_CLEAN_ROWS):
         return None
-    weight = F.when(F.col("label") == 1, sizes.train / (2 * sizes.train_pos)).otherwise(
-        sizes.train / (2 * sizes.train_neg)
-    )
-    steps = [
-        VectorAssembler(inputCols=_inputs(features), outputCol="vector", handleInvalid="keep"),
-        RandomForestClassifier(
-            featuresCol="vector",
-            labelCol="label",
-            weightCol="weight",
-            numTrees=trees,
-            maxDepth=max_depth,
-            maxBins=max_bins,
-            minInstancesPerNode=2,
-            featureSubsetStrategy="sqrt",
-            seed=seed,
-        ),
-    ]
-    weighted = parts.withColumn("weight", weight)
-    return _fit(Pipeline(stages=steps), weighted, sizes, features, keys)
+    train = parts.where("is_train").drop("is_train")
+    test = parts.where(~F.col("is_train")).drop("is_train")
+    vectors = train.select("label", F.array(*[col(name) for name in features]).alias("x"))
+    forest = grow_forest(vectors, trees, max_depth, min_leaf, seed=seed, finish=finish)
+    return ForestClassifier(features, train, test, tuple(keys), forest=forest)
 
 
-def metrics_or_empty(fitted: Classifier | None, df: DataFrame) -> DataFrame:
+def metrics_or_empty(fitted: _Fitted | None, df: DataFrame) -> DataFrame:
     if fitted is None:
         return df.sparkSession.createDataFrame([], METRICS_SCHEMA)
     return fitted.metrics()
 
 
-def score_ig(fitted: Classifier | None, df: DataFrame, keys=KEYS) -> DataFrame:
+def score_ig(fitted: _Fitted | None, df: DataFrame, keys=KEYS) -> DataFrame:
     """P(IG) of every company-year; missing ratios are imputed by the model."""
     names = [col(k) for k in keys]
     if fitted is None:
@@ -201,7 +222,7 @@ def score_ig(fitted: Classifier | None, df: DataFrame, keys=KEYS) -> DataFrame:
     return fitted.predict(df).select(*names, "p_ig")
 
 
-def rf_score_ig(fitted: Classifier | None, df: DataFrame, keys=KEYS) -> DataFrame:
+def rf_score_ig(fitted: ForestClassifier | None, df: DataFrame, keys=KEYS) -> DataFrame:
     """P(IG) by the forest of every company-year whose ratios are all finite."""
     if fitted is None:
         return score_ig(None, df, keys)

@@ -13,9 +13,11 @@ from pyspark.sql.types import StructType
 from creditloom.functions.columns import col
 from creditloom.operators.joins import lookup_join
 from creditloom.sources.panel_io import write_panel
-from creditloom.staging import staging_path
+from creditloom.staging import files_state, staging_path
 
-_tables: dict[tuple[str, str], tuple[str, StructType]] = {}
+SOURCES = ("customer", "lineitem", "orders", "part")
+
+_tables: dict[tuple, tuple[str, StructType]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,8 +114,14 @@ def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def panel_key(spark: SparkSession, sf_dir: str) -> tuple:
+    """Application, folder and state (names, sizes and times) of the files of the panel."""
+    state = [files_state(spark, f"{sf_dir}/{name}.parquet") for name in SOURCES]
+    return (spark.sparkContext.applicationId, sf_dir, *state)
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = panel_key(spark, sf_dir)
     if key not in _tables:
         rows = build_panel(spark, sf_dir)
         path = staging_path(spark, "panel")

@@ -12,25 +12,25 @@ from creditloom.operators import (
     peers,
 )
 from creditloom.plans import panel_sql as q
-from creditloom.plans.panel import panel
+from creditloom.plans.panel import panel, panel_key
 from creditloom.plans.registry import query, rounded
 
 FEATURES = q.FEATURES
 KEYS = '"Company Code", "Year"'
 ID = "concat_ws('|', CAST(\"Company Code\" AS VARCHAR), CAST(\"Year\" AS VARCHAR))"
 
-# The depth bounds the forest (at most 400 x 511 nodes), whose nodes the driver holds; the
-# operator itself goes on to a depth of 30.
-FOREST = {"trees": 400, "max_depth": 8}
+#: Explanations of all rows by all leaves; at the operator's own depth of 30 they take too
+#: long for a registered query (the README has figures).
+EXPLAINED = {"trees": 400, "max_depth": 8}
 
-_forests: dict[tuple[str, str], models.Classifier | None] = {}
+_forests: dict[tuple, models.ForestClassifier | None] = {}
 
 
-def forest(spark, sf_dir):
-    """The forest of the panel, fitted once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def forest(spark, sf_dir, **settings):
+    """A forest of the panel, fitted once per application, state of the tables and settings."""
+    key = (*panel_key(spark, sf_dir), *sorted(settings.items()))
     if key not in _forests:
-        _forests[key] = models.train_rf(model_rows(spark, sf_dir), FEATURES, **FOREST)
+        _forests[key] = models.train_rf(model_rows(spark, sf_dir), FEATURES, **settings)
     return _forests[key]
 
 
@@ -216,6 +216,25 @@ def nearest_peers(spark, sf_dir):
     return rounded(found, "distance")
 
 
+@query(
+    q.PANEL
+    + f""", complete AS (SELECT {KEYS}, {q.quoted(FEATURES)} FROM panel
+  WHERE {" AND ".join(f'"{f}" IS NOT NULL' for f in FEATURES)}),
+z AS MATERIALIZED (SELECT "Company Code" AS e, "Year" AS y,
+  {", ".join(f"{_z(n)} AS z{i}" for i, n in enumerate(FEATURES))} FROM complete),
+near AS (SELECT a.e, a.y, unnest(min({{
+    'd': round(sqrt({" + ".join(f"(b.z{i} - a.z{i}) ^ 2" for i in range(len(FEATURES)))}), 9),
+    'e': b.e, 'y': b.y}}, 10)) AS p
+  FROM z a JOIN z b ON a.e <> b.e OR a.y <> b.y GROUP BY a.e, a.y)
+SELECT e AS "Company Code", y AS "Year",
+  CAST(row_number() OVER (PARTITION BY e, y ORDER BY p) AS INT) AS rank,
+  p.e AS peer_entity, p.y AS peer_year, round(p.d, 6) AS distance FROM near"""
+)
+def all_peers(spark, sf_dir):
+    rows = panel(spark, sf_dir).select("Company Code", "Year", *FEATURES)
+    return rounded(peers.all_peers(rows, FEATURES), "distance")
+
+
 @query(
     q.PANEL
     + f"""SELECT {KEYS}, "Interest Coverage Ratio" AS score FROM panel
@@ -397,28 +416,28 @@ def rf_score_ig(spark, sf_dir):
 
 @query()
 def permutation_importance_rf(spark, sf_dir):
-    fitted = forest(spark, sf_dir)
+    fitted = forest(spark, sf_dir, **EXPLAINED)
     return explain.permutation_importance(fitted.holdout, FEATURES, fitted.predict)
 
 
 @query()
 def shap_global(spark, sf_dir):
-    fitted = forest(spark, sf_dir)
+    fitted = forest(spark, sf_dir, **EXPLAINED)
     return explain.shap_global(fitted)
 
 
 @query()
 def shap_row(spark, sf_dir):
-    fitted = forest(spark, sf_dir)
+    fitted = forest(spark, sf_dir, **EXPLAINED)
     return explain.shap_row(fitted, panel(spark, sf_dir))
 
 
 @query()
 def partial_dependence_rf(spark, sf_dir):
-    fitted = forest(spark, sf_dir)
+    fitted = forest(spark, sf_dir, **EXPLAINED)
     importance = explain.permutation_importance(fitted.holdout, FEATURES, fitted.predict)
     shown = [r["feature"] for r in explain.top_features(importance, 3).head(3)]
-    return explain.partial_dependence(fitted.train, FEATURES, fitted.predict, shown=shown)
+    return explain.forest_dependence(fitted, fitted.train, shown=shown)
 
 
 @query()

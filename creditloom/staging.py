@@ -33,6 +33,24 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{staging_root(spark)}/creditloom/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def files_state(spark: SparkSession, folder: str) -> int:
+    """Changes when a file of a table is added, removed or written anew: a hash of the
+    names, sizes and times that the file system lists."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    found = []
+    todo = [path]
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    while todo:
+        for status in system.listStatus(todo.pop()):
+            if status.isDirectory():
+                todo.append(status.getPath())
+            else:
+                name = status.getPath().toString()
+                found.append((name, status.getLen(), status.getModificationTime()))
+    return hash(tuple(sorted(found)))
+
+
 def remove_path(spark: SparkSession, folder: str) -> None:
     """Delete a staged table that nothing reads any more, such as the last round's."""
     context = spark.sparkContext

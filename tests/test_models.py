@@ -170,7 +170,7 @@ def test_attributions_are_shapley_values(spark, forest, monkeypatch, table_tests
     for r in explain.tree_attributions(forest, few).collect():
         found.setdefault(r["Company Code"], {})[r["feature"]] = r["value"]
     trees = {}
-    for r in explain.forest_nodes(spark, forest.model.stages[-1]).collect():
+    for r in forest.forest.nodes.collect():
         trees.setdefault(r["tree"], {})[r["id"]] = r.asDict()
     for r in few.collect():
         x = [r[n] for n in NAMES]
@@ -181,7 +181,7 @@ def test_attributions_are_shapley_values(spark, forest, monkeypatch, table_tests
         assert [found[r["Company Code"]][n] for n in NAMES] == pytest.approx(wanted.tolist(), abs=1e-12)
 
 
-def test_attributions_add_up_in_blocks_of_trees(forest, monkeypatch):
+def test_attributions_add_up_in_blocks_smaller_than_a_tree(forest, monkeypatch):
     monkeypatch.setattr(explain, "BLOCK_NODES", 40)
     summed = explain.tree_attributions(forest, forest.holdout).groupBy("Company Code").agg(
         (F.sum("value") + F.max("base_value")).alias("total"), F.max("base_value").alias("base")
@@ -278,3 +278,178 @@ def test_prediction_keeps_the_callers_columns(spark):
     assert found.columns == [*wide.columns, "p_ig", "prediction"]
     row = found.first()
     assert {name: row[name] for name in own} == own and 0 <= row["p_ig"] <= 1
+
+
+def plain_peers(data, n):
+    """(key, rank, peer key, distance) with every distance taken."""
+    z = np.array([x for _, _, *x in data])
+    spread = z.std(axis=0)
+    z = (z - z.mean(axis=0)) / np.where(spread > 0, spread, 1.0)
+    keys = [(e, y) for e, y, *_ in data]
+    found = []
+    for i, own in enumerate(keys):
+        far = np.round(np.sqrt(((z - z[i]) ** 2).sum(axis=1)), 9)
+        ranked = sorted((d, k) for d, k in zip(far.tolist(), keys) if k != own)[:n]
+        found += [(*own, r + 1, *k, round(d, 6)) for r, (d, k) in enumerate(ranked)]
+    return sorted(found)
+
+
+@pytest.mark.parametrize(("block", "tasks"), [(40, 1), (40, 9), (4000, 3)])
+def test_peers_of_all(spark, block, tasks):
+    rng = random.Random(11)
+    data = [(i, 2010 + i % 3, *[round(rng.gauss(0, 1), 2) for _ in range(3)]) for i in range(500)]
+    # Ties, many equal company-years, far ones, and a group beyond any block.
+    data += [(1000 + i, 2010, 1.0, 1.0, 1.0) for i in range(90)]
+    data += [(2000 + i, 2011, 50.0 + i, -40.0, 3.0) for i in range(5)]
+    schema = "`Company Code` long, `Year` int, ROA double, ROE double, `Quick Ratio` double"
+    df = spark.createDataFrame(data, schema).repartition(tasks)
+    found = peers.all_peers(df, ["ROA", "ROE", "Quick Ratio"], n=4, block_points=block)
+    assert sorted((*r[:5], round(r[5], 6)) for r in found.collect()) == plain_peers(data, 4)
+
+
+def test_peers_of_all_odd_rows(spark):
+    schema = "`Company Code` string, `Year` int, ROA double, ROE double"
+    odd = [("a", 1, 0.0, 1.0), ("a", 1, 5.0, 1.0), ("b", 1, 0.0, 1.0), ("c", 1, None, 1.0)]
+    odd += [(None, 1, 0.0, 1.0), ("d", None, 0.0, 1.0)]
+    found = peers.all_peers(spark.createDataFrame(odd, schema), ["ROA", "ROE", "absent"])
+    assert sorted(tuple(r) for r in found.collect()) == [
+        ("a", 1, 1, "b", 1, 0.0), ("b", 1, 1, "a", 1, 0.0)
+    ]
+    assert peers.all_peers(spark.createDataFrame([], schema), ["ROA"]).collect() == []
+
+
+def test_blocks_are_skipped(spark):
+    from creditloom.operators import neighbours
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 2))
+    splits = neighbours._tree(x, 5)
+    block = neighbours._block_of(x, splits)
+    assert np.bincount(block).max() < 2 * 4000 / 32
+    edges = [
+        {"block": b, "n": int((block == b).sum()), "reach": 0.2}
+        | {f"low{i}": x[block == b, i].min() for i in range(2)}
+        | {f"high{i}": x[block == b, i].max() for i in range(2)}
+        for b in range(32)
+    ]
+    boxes = neighbours._Boxes(edges, 2)
+    assert sum(len(boxes.targets(i, 5)) for i in range(32)) < 0.5 * 32 * 32
+
+
+def plain_tree(nodes, x):
+    node = nodes[0]
+    while node["left"] >= 0:
+        node = nodes[node["left"] if x[node["feature"]] <= node["threshold"] else node["right"]]
+    return node["value"]
+
+
+def trees_of(grown):
+    trees = {}
+    for r in grown.nodes.collect():
+        trees.setdefault(r["tree"], {})[r["id"]] = r.asDict()
+    return trees
+
+
+@pytest.mark.parametrize("finish", [100_000, 60])
+def test_forest_of_either_phase(separable, finish):
+    """All nodes grown in tasks, and the upper ones from histograms."""
+    fitted = models.train_rf(separable, NAMES, trees=30, finish=finish)
+    assert fitted.metrics().first()["auc_roc"] > 0.93
+    trees = trees_of(fitted.forest)
+    assert len(trees) == 30
+    for nodes in trees.values():
+        for i, node in nodes.items():
+            if node["left"] < 0:
+                assert 2 * i + 1 not in nodes and 2 * i + 2 not in nodes
+                continue
+            left, right = nodes[node["left"]], nodes[node["right"]]
+            assert (node["left"], node["right"]) == (2 * i + 1, 2 * i + 2)
+            assert left["cover"] + right["cover"] == pytest.approx(node["cover"])
+            both = left["cover"] * left["value"] + right["cover"] * right["value"]
+            assert both == pytest.approx(node["cover"] * node["value"])
+    assert max(math.log2(i + 1) for nodes in trees.values() for i in nodes) > 5
+    for r in fitted.holdout.limit(20).collect():
+        x = [r[n] for n in NAMES]
+        assert r["p_ig"] == pytest.approx(np.mean([plain_tree(t, x) for t in trees.values()]))
+
+
+@pytest.mark.parametrize("finish", [100_000, 100])
+def test_forest_does_not_depend_on_the_layout(separable, finish):
+    def nodes(df):
+        grown = models.train_rf(df, NAMES, trees=5, finish=finish).forest
+        return sorted(tuple(r) for r in grown.nodes.fillna(-9.0).collect())
+
+    first = nodes(separable.repartition(1))
+    assert len(first) > 100
+    assert nodes(separable.repartition(17)) == first
+
+
+def test_splits_are_the_best_ones():
+    from creditloom.operators.forest import Plan, grow
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    label = (x[:, 0] + rng.normal(0, 3, 300) > 6).astype(np.int64)
+    weight = rng.integers(1, 4, 300)
+    copies = rng.integers(1, 3, 300)
+    plan = Plan(seed=1, tried=3, max_depth=30, min_leaf=4, weights=(1.5, 0.75))
+    found = grow(x, label, weight, copies, 0, 0, plan)
+    rows = {0: np.arange(300)}
+    gini = lambda p, n: (p * p + n * n) / (p + n)
+    for i, f, t in zip(found["id"].tolist(), found["feature"].tolist(), found["threshold"].tolist()):
+        own = rows[i]
+        best = None
+        for g in range(3):
+            for cut in np.unique(x[own, g])[:-1]:
+                sides = [own[x[own, g] <= cut], own[x[own, g] > cut]]
+                if min(np.minimum(weight, copies)[s].sum() for s in sides) < 4:
+                    continue
+                sums = [((weight * label)[s].sum() * 0.75, (weight * (1 - label))[s].sum() * 1.5) for s in sides]
+                score = sum(gini(*s) for s in sums)
+                best = max(best or score, score)
+        pure = len(set(label[own].tolist())) == 1
+        assert (f < 0) == (best is None or pure)
+        if f >= 0:
+            sides = [own[x[own, f] <= t], own[x[own, f] > t]]
+            sums = [((weight * label)[s].sum() * 0.75, (weight * (1 - label))[s].sum() * 1.5) for s in sides]
+            assert sum(gini(*s) for s in sums) == pytest.approx(best)
+            rows[2 * i + 1], rows[2 * i + 2] = sides
+
+
+def test_draws_are_poisson():
+    from creditloom.operators.forest import draws
+
+    content = np.arange(40_000).astype(np.int64) * 7919
+    for copies in (1, 5, 32, 400):
+        n = draws(content, np.full(40_000, copies), 3, 42)
+        assert n.mean() == pytest.approx(copies, rel=0.02) and n.var() == pytest.approx(copies, rel=0.05)
+    assert (draws(content, np.ones(40_000, np.int64), 4, 42) != draws(content, np.ones(40_000, np.int64), 3, 42)).any()
+
+
+def test_copies_weigh_and_few_values_split(spark):
+    rows = [(i, 2010 + i % 4, i % 2 if i % 10 else 1 - i % 2, float(i % 2), 0.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "`Company Code` long, `Year` int, label int, ROA double, ROE double")
+    fitted = models.train_rf(df, ["ROA", "ROE"], trees=20)
+    p = {r["ROA"]: r["p_ig"] for r in fitted.holdout.collect()}
+    assert p[0.0] < 0.3 < 0.7 < p[1.0]
+
+
+def test_dependence_of_a_forest_is_that_of_all_trials(forest):
+    grids = {"ROE": [-2.0, -0.5, 0.0, 0.1, 3.0], "ROA": [0.0, 1.0]}
+    shown = list(grids)
+    fast = explain.forest_dependence(forest, forest.train, shown, grids=grids)
+    slow = explain.partial_dependence(forest.train, NAMES, forest.predict, shown, grids=grids)
+    key = lambda df: {(r["feature"], r["grid_value"]): r["mean_p_ig"] for r in df.collect()}
+    expected = key(slow)
+    found = key(fast)
+    assert set(found) == set(expected) and len(found) == 7
+    assert all(found[k] == pytest.approx(v, abs=1e-9) for k, v in expected.items())
+
+
+def test_default_row_numbers_do_not_depend_on_the_layout(separable):
+    def drops(df):
+        found = explain.permutation_importance(df, NAMES, rule, repeats=3, bucket_rows=100)
+        return sorted((r["feature"], round(r["importance"], 12)) for r in found.collect())
+
+    twice = separable.union(separable.limit(50))
+    assert drops(twice.repartition(1)) == drops(twice.repartition(17))

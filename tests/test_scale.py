@@ -174,7 +174,8 @@ def test_rows_stay_on_the_cluster():
         ("operators/quantiles.py", "collect"): 1,
         ("operators/explain.py", "collect"): 1,
         ("operators/joins.py", "collect"): 1,
-        ("operators/explain.py", "toPandas"): 1,
+        ("operators/neighbours.py", "collect"): 2,
+        ("operators/forest.py", "collect"): 4,
         ("operators/anomaly.py", "toPandas"): 1,
         ("sources/resolve.py", "collect"): 1,
     }
