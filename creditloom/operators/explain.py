@@ -4,6 +4,7 @@ attributions of a forest's score to the features."""
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ CELLS = 2_000_000
 # Copies of one row that are made in one go.
 COPIES = 10_000
 TABLE_TESTS = 6
+# Numbers in the tables of a block of leaves.
+TABLE_CELLS = 16_000_000
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -366,6 +369,93 @@ def _leaf_effects(rows: np.ndarray, leaves: _Leaves) -> np.ndarray:
     return leaves.table[np.arange(len(leaves.value)), pattern]
 
 
+@dataclass
+class _TreeTable:
+    """Leaves of one tree (those of them in a block) over few features.
+
+    ``passes`` has per feature a bit for each leaf at each place among the ``cuts``, so a
+    row's pattern of passed tests is a sum of five or six rows of bytes. ``effects`` has the
+    attributions of each leaf for each pattern.
+    """
+
+    cuts: list[np.ndarray]
+    passes: list[np.ndarray]
+    effects: np.ndarray
+
+    def attribute(self, x: np.ndarray) -> np.ndarray:
+        leaves, width = self.passes[0].shape[1], len(self.cuts)
+        first = np.arange(leaves) << width
+        out = np.empty(x.shape)
+        step = max(1, CELLS // (leaves * width))
+        for start in range(0, len(x), step):
+            rows = x[start : start + step]
+            pattern = np.zeros((len(rows), leaves), dtype=np.uint8)
+            for f, cuts in enumerate(self.cuts):
+                pattern += self.passes[f].take(np.searchsorted(cuts, rows[:, f]), axis=0)
+            found = self.effects.take((first + pattern).ravel(), axis=0)
+            out[start : start + step] = found.reshape(len(rows), leaves, width).sum(axis=1)
+        return out
+
+
+class LeafTables:
+    """A block of leaves; the tables are made where they are used, once per process."""
+
+    def __init__(self, block: pa.Table, trees: int, width: int):
+        self.block, self.trees, self.width = block, trees, width
+
+    @cached_property
+    def tables(self) -> list[_TreeTable]:
+        block, width = self.block, self.width
+        n = block.num_rows
+        tests = np.diff(block.column("feature").combine_chunks().offsets.to_numpy())
+        leaf = np.repeat(np.arange(n), tests)
+        flat = {c: pc.list_flatten(block.column(c)).to_numpy() for c in ("feature", "low", "high", "share")}
+        low, high = np.full((n, width), -np.inf), np.full((n, width), np.inf)
+        low[leaf, flat["feature"]], high[leaf, flat["feature"]] = flat["low"], flat["high"]
+        share, tested = np.ones((n, width)), np.zeros((n, width), dtype=bool)
+        share[leaf, flat["feature"]], tested[leaf, flat["feature"]] = flat["share"], True
+        value = block.column("value").to_numpy() / self.trees
+        # An untested feature always passes and has the share 1, so its effect is 0.
+        effects = _pattern_table(share, value)
+        found = []
+        tree = block.column("tree").to_numpy()
+        order = np.argsort(tree, kind="stable")
+        starts = np.flatnonzero(np.append(True, tree[order][1:] != tree[order][:-1])) if n else []
+        for own in np.split(order, starts[1:]) if n else []:
+            cuts, passes = [], []
+            for f in range(width):
+                ends = np.concatenate([low[own, f], high[own, f]])
+                cut = np.unique(ends[np.isfinite(ends)])
+                place = np.arange(len(cut) + 1)[:, None]
+                from_ = np.where(np.isfinite(low[own, f]), np.searchsorted(cut, low[own, f]) + 1, 0)
+                to = np.searchsorted(cut, high[own, f])
+                inside = (place >= from_) & (place <= to)
+                cuts.append(cut)
+                passes.append(np.where(tested[own, f] & ~inside, 0, 1 << f).astype(np.uint8))
+            found.append(_TreeTable(cuts, passes, effects[own].reshape(-1, width)))
+        return found
+
+    def attribute(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(rows.shape)
+        for table in self.tables:
+            out += table.attribute(rows)
+        return out
+
+
+class LeafGroups:
+    """A block of leaves over many features, by the number of features that they test."""
+
+    def __init__(self, block: pa.Table, trees: int, width: int):
+        self.block, self.trees = block, trees
+
+    @cached_property
+    def groups(self) -> list[_Leaves]:
+        return _group_leaves(self.block, self.trees)
+
+    def attribute(self, rows: np.ndarray) -> np.ndarray:
+        return attribute_rows(rows, self.groups)
+
+
 def attribute_rows(rows: np.ndarray, groups: list[_Leaves]) -> np.ndarray:
     """Attributions (rows x features), in pieces of bounded size."""
     out = np.zeros(rows.shape)
@@ -391,7 +481,10 @@ def forest_leaves(grown: forest.Forest) -> tuple[DataFrame, int]:
     part of a tree.
     """
     leaves = grown.nodes.groupBy("tree").applyInArrow(_tree_leaves, LEAF)
-    blocks = max(1, -(-grown.nodes.count() // (2 * BLOCK_NODES)))
+    tables = grown.width << grown.width if grown.width <= TABLE_TESTS else 1
+    limit = max(1, min(BLOCK_NODES // 2, TABLE_CELLS // tables))
+    # A tree has one leaf more than inner nodes.
+    blocks = max(1, -(-grown.nodes.count() // (2 * limit)))
     block = F.pmod(F.xxhash64("tree", "feature", "low", "high"), F.lit(blocks))
     dealt = leaves.withColumn("block", block).repartition(blocks, "block")
     return stage(dealt, "leaves"), blocks
@@ -420,13 +513,14 @@ def _attributed(
     schema = rows.schema
     leaves, blocks = forest_leaves(fitted.forest)
     base = leaves.agg(F.sum("weight")).first()[0] / trees
+    kind = LeafTables if len(names) <= TABLE_TESTS else LeafGroups
     for block in range(blocks):
         own = leaves.where(F.col("block") == block).drop("block").toArrow()
-        shared = spark.sparkContext.broadcast(_group_leaves(own, trees))
+        shared = spark.sparkContext.broadcast(kind(own, trees, len(names)))
 
         def add_block(batches, shared=shared):
             for batch in batches:
-                batch[outputs] += attribute_rows(batch[inputs].to_numpy(dtype=float), shared.value)
+                batch[outputs] += shared.value.attribute(batch[inputs].to_numpy(dtype=float))
                 yield batch
 
         rows = rows.mapInPandas(add_block, schema)

@@ -503,6 +503,7 @@ class TreeBlock:
         find = lambda child: np.searchsorted(key, (tree << DEEPEST) + np.maximum(child, 0))
         self.left = np.where(self.leaf, own, find(left)).astype(np.int32)
         self.right = np.where(self.leaf, own, find(right)).astype(np.int32)
+        self.child = np.stack([self.right, self.left], axis=1).ravel().astype(np.int64)
         self.feature = np.where(self.leaf, 0, table.column("feature").to_numpy()[order]).astype(np.int32)
         threshold = table.column("threshold").to_numpy(zero_copy_only=False)[order]
         self.threshold = np.where(self.leaf, np.inf, threshold)
@@ -532,8 +533,7 @@ class TreeBlock:
             while len(rows):
                 done = self.leaf[node]
                 if done.any():
-                    ends, n = np.unique(node[done], return_counts=True)
-                    out[ends] += n
+                    np.add.at(out, node[done], 1)
                     rows, node = rows[~done], node[~done]
                 both = self.feature[node] == feature
                 left = both | (x[rows, self.feature[node]] <= self.threshold[node])
@@ -546,17 +546,28 @@ class TreeBlock:
         """Sum over the trees of the value that each row gets, tree by tree in order. A value
         that is not a number goes right."""
         out = np.zeros(len(x))
-        every = np.arange(len(x))
+        flat, width = np.ascontiguousarray(x).ravel(), x.shape[1]
+        every = np.arange(len(x)) * width
         for root in self.roots.tolist():
-            node = np.full(len(x), root, dtype=np.int32)
-            rows = every if not self.leaf[root] else every[:0]
-            while len(rows):
-                at = node[rows]
-                left = x[rows, self.feature[at]] <= self.threshold[at]
-                at = np.where(left, self.left[at], self.right[at])
-                node[rows] = at
-                rows = rows[~self.leaf[at]]
-            out += self.value[node]
+            end = np.full(len(x), root, dtype=np.int64)
+            rows, base, node = None, every, end
+            while True:
+                low = flat.take(base + self.feature.take(node)) <= self.threshold.take(node)
+                node = self.child.take(2 * node + low)
+                inner = ~self.leaf.take(node)
+                left = np.count_nonzero(inner)
+                # Rows in leaves stay where they are; half of them at a time are put aside.
+                if 2 * left <= len(node):
+                    if rows is None:
+                        end = node
+                        rows = np.flatnonzero(inner)
+                    else:
+                        end[rows] = node
+                        rows = rows[inner]
+                    if not left:
+                        break
+                    base, node = base[inner], node[inner]
+            out += self.value.take(end)
         return out
 
 

@@ -48,6 +48,15 @@ def _few_tasks(df: DataFrame, n: int) -> DataFrame:
     return df.coalesce(max(1, -(-n // ROWS_PER_TASK)))
 
 
+def _spread(df: DataFrame, n: int) -> DataFrame:
+    """Deal a small table over all cores, by content: a row of it costs far more to score or
+    to explain than to read. A large table has tasks enough and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if n >= cores * ROWS_PER_TASK:
+        return df
+    return stage(df.repartition(cores, *[col(c) for c in df.columns]), "spread")
+
+
 @dataclass
 class _Fitted:
     """What classifiers share: the rows of both parts, the scored test part, its metrics."""
@@ -201,6 +210,7 @@ def train_rf(
     sizes = _sizes(parts)
     if not sizes.usable(MIN_CLEAN_ROWS):
         return None
+    parts = _spread(parts, sizes.train + sizes.test)
     train = parts.where("is_train").drop("is_train")
     test = parts.where(~F.col("is_train")).drop("is_train")
     vectors = train.select("label", F.array(*[col(name) for name in features]).alias("x"))
