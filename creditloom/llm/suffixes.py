@@ -9,13 +9,14 @@ the left of it and reach as far to the right. Suffixes are sorted over the clust
 those that agree are extended to both sides by the hashes of their passages. Longer passages
 are put together from the matches at their several minimisers.
 
-All suffixes of a head meet in one task if they are at most ``TOGETHER``. The passages of more
-frequent heads are sorted one by one, by hash and place, over all tasks: equal ones are
-neighbours, also across the border between two tasks. So a passage in a third of all texts
-is spread over many tasks, and every match is by the 64-bit hash of the whole passage, however
-many suffixes share its head.
-
-All places of a repeated passage are reported, the first too. Nulls and empty texts have
+All suffixes of a head meet in one task if they are at most ``TOGETHER``. Of more frequent
+heads, suffixes with the same passages become one class with a count and its first and last
+place, and the passages of the classes are counted by their hash. So a passage in a third of
+all texts is spread over many tasks and costs as much as one copy of it, and every match is
+by the 64-bit hash of the whole passage. Both ways give the same rows.
+
+All places of a repeated passage are reported. Each names the document of the first place of
+the passage (by id, text hash and word), and the first place that of the last one. Nulls and empty texts have
 none. Rows with the same id count as parts of one document, placed by a hash of their text;
 equal rows repeat each other. Rows without an id take part like others.
 """
@@ -24,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +42,8 @@ TOGETHER = 1_000
 BROADCAST_HEADS = 1_000_000
 SUFFIX = "head long, id long, part long, first int, windows binary"
 MATCH = "id long, part long, first int, last int, other long"
-PLACE = "key long, id long, part long, at int, suffix int, twice boolean"
-NEIGHBOUR = "key long, id long, part long, at int, suffix int, other long"
+PLACE = "id: bigint, part: bigint, at: int"
+PASSAGE = f"key long, class long, number int, n long, low struct<{PLACE}>, high struct<{PLACE}>"
 
 
 def _names(schema: str) -> list[str]:
@@ -144,9 +146,15 @@ def _passages(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     mine = batch.filter(pa.array(close))
     keys, row, number = _windows(mine)
     order = np.argsort(keys, kind="stable")
-    pairs = np.flatnonzero(keys[order[1:]] == keys[order[:-1]])
-    one = np.concatenate([order[pairs + 1], order[pairs]])
-    two = np.concatenate([order[pairs], order[pairs + 1]])
+    starts = np.flatnonzero(np.append(True, keys[order[1:]] != keys[order[:-1]])[: len(keys)])
+    sizes = np.diff(np.append(starts, len(keys)))
+    several = np.repeat(sizes > 1, sizes)
+    one = order[several]
+    low = np.repeat(order[starts], sizes)[several]
+    high = np.repeat(order[starts + sizes - 1], sizes)[several]
+    # Equal rows have one place.
+    place = _place_numbers(mine)
+    two = np.where(place[row[one]] == place[row[low]], high, low)
     by_place = np.lexsort((number[one], row[one]))
     one, two = one[by_place], two[by_place]
     fresh = np.ones(len(one), dtype=bool)
@@ -172,6 +180,17 @@ def _passages(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     )
 
 
+def _place_numbers(rows: pa.RecordBatch) -> np.ndarray:
+    """Number of the place of each row; equal rows, which follow each other, share it."""
+    fresh = np.zeros(rows.num_rows, dtype=bool)
+    for name in ("id", "part", "first"):
+        column = rows.column(name)
+        for values in (pc.fill_null(column, 0), column.is_null()):
+            values = values.to_numpy(zero_copy_only=False)
+            fresh[1:] |= values[1:] != values[:-1]
+    return np.cumsum(fresh)
+
+
 def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
@@ -198,90 +217,56 @@ def _sweep(length: int) -> Callable:
     return rows
 
 
-def _spread(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``PLACE``: each passage of the suffixes."""
+def _class_passages(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``PASSAGE``: each passage of the classes, at the class's first and last place."""
     for part in parts:
-        for at in range(0, part.num_rows, 1000):
-            some = part.slice(at, 1000)
+        for start in range(0, part.num_rows, 1000):
+            some = part.slice(start, 1000)
             keys, row, number = _windows(some)
-            rows = pa.array(row)
-            first = np.asarray(some.column("first"))[row]
+            rows, number = pa.array(row), pa.array(number.astype(np.int32))
+            columns = [pa.array(keys.view(np.int64)), some.column("class").take(rows), number]
+            columns.append(some.column("n").take(rows))
+            for edge in ("low", "high"):
+                place = some.column(edge)
+                at = pc.add(place.field("first").take(rows), number)
+                ends = [place.field("id").take(rows), place.field("part").take(rows), at]
+                columns.append(pa.StructArray.from_arrays(ends, names=["id", "part", "at"]))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys.view(np.int64)),
-                    some.column("id").take(rows),
-                    some.column("part").take(rows),
-                    pa.array((first + number).astype(np.int32)),
-                    pa.array(first.astype(np.int32)),
-                    some.column("twice").take(rows),
-                ],
-                names=_names(PLACE),
+                columns, names=["key", "class", "number", "n", "low", "high"]
             )
 
 
-def _neighbours(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``NEIGHBOUR``: of a task's sorted passages those that are found again, without
-    ``key``, and the first and the last one, with ``key``."""
-
-    def made(batch: pa.RecordBatch, found: np.ndarray, other: np.ndarray | None) -> pa.RecordBatch:
-        rows, n = pa.array(found), len(found)
-        none = pa.nulls(n, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [
-                none if other is not None else batch.column("key").take(rows),
-                *[batch.column(c).take(rows) for c in ("id", "part", "at", "suffix")],
-                none if other is None else batch.column("id").take(pa.array(other)),
-            ],
-            names=_names(NEIGHBOUR),
-        )
-
-    before, n = None, 0
-    for part in parts:
-        if not part.num_rows:
-            continue
-        if before is None:
-            yield made(part, np.array([0]), None)
-        n += part.num_rows
-        batch = part if before is None else _joined([before, part])
-        keys = np.asarray(batch.column("key"))
-        same = keys[1:] == keys[:-1]
-        later = np.flatnonzero(same) + 1
-        first = np.flatnonzero(same & ~np.append(False, same[:-1]))
-        twice = np.flatnonzero(np.asarray(batch.column("twice").to_numpy(zero_copy_only=False)))
-        found = np.concatenate([later, first, twice])
-        yield made(batch, found, np.concatenate([later - 1, first + 1, twice]))
-        before = batch.slice(batch.num_rows - 1)
-    if n > 1:
-        yield made(before, np.array([0]), None)
-
-
-def _frequent_matches(suffixes: DataFrame, length: int, partitions: int) -> DataFrame:
-    """Matches of suffixes with frequent heads, by a sort of all of their passages."""
-    # Equal rows become one, so that places differ.
-    once = suffixes.groupBy("id", "part", "first").agg(
-        F.first("windows").alias("windows"), (F.count("*") > 1).alias("twice")
-    )
-    order = ("key", "id", "part", "at")
-    places = stage(once, "frequent").mapInArrow(_spread, PLACE)
-    ordered = places.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
-    swept = stage(ordered.mapInArrow(_neighbours, NEIGHBOUR), "neighbours")
-    # Passages next to the borders between tasks: two per task at most.
-    place = F.struct("id", "part", "at", "suffix")
-    edges = (
-        swept.where("key IS NOT NULL")
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_list(place)).alias("places"))
-        .where("size(places) > 1")
-        .select("places", F.posexplode("places").alias("turn", "p"))
-        .select("p.*", F.when(F.col("turn") == 0, F.col("places")[1]["id"]).otherwise(F.col("places")[0]["id"]).alias("other"))
+def _frequent_matches(suffixes: DataFrame, length: int) -> DataFrame:
+    """Matches of suffixes with frequent heads, class by class."""
+    place = F.struct("id", "part", "first")
+    same = F.xxhash64("head", "windows").alias("class")
+    members = stage(suffixes.select("id", "part", "first", same, "windows"), "frequent")
+    classes = members.groupBy("class").agg(
+        F.first("windows").alias("windows"),
+        F.count("*").alias("n"),
+        F.min(place).alias("low"),
+        F.max(place).alias("high"),
     )
-    found = swept.where("key IS NULL").drop("key").unionByName(edges)
-    ends = found.groupBy("id", "part", "suffix").agg(
-        F.min(F.struct("at", "other")).alias("left"), F.max(F.struct("at", "other")).alias("right")
+    passages = stage(classes, "classes").mapInArrow(_class_passages, PASSAGE)
+    shared = passages.groupBy("key").agg(
+        F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    others = F.explode(F.array_distinct(F.array("left.other", "right.other"))).alias("other")
-    last = (F.col("right.at") + F.lit(length - 1)).cast("int")
-    return ends.select("id", "part", F.col("left.at").alias("first"), last.alias("last"), others)
+    found = passages.select("key", "class", "number").join(shared.where("n > 1"), "key")
+    end = F.struct("number", "low", "high")
+    ends = found.groupBy("class").agg(F.min(end).alias("left"), F.max(end).alias("right"))
+    rows = members.drop("windows").join(ends, "class")
+
+    def word(end: str) -> Column:
+        return (F.col("first") + F.col(f"{end}.number")).cast("int")
+
+    def other(end: str) -> Column:
+        own = F.struct("id", "part", word(end).alias("at"))
+        first = own.eqNullSafe(F.col(f"{end}.low"))
+        return F.when(first, F.col(f"{end}.high.id")).otherwise(F.col(f"{end}.low.id"))
+
+    others = F.explode(F.array_distinct(F.array(other("left"), other("right")))).alias("other")
+    last = (word("right") + F.lit(length - 1)).cast("int").alias("last")
+    return rows.select("id", "part", word("left").alias("first"), last, others)
 
 
 def passage_matches(
@@ -312,7 +297,7 @@ def passage_matches(
     if not heads:
         return found
     hot = suffixes.join(frequent, "head", "left_semi")
-    return found.unionByName(_frequent_matches(hot, length, partitions))
+    return found.unionByName(_frequent_matches(hot, length))
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
@@ -323,7 +308,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         found.groupBy("id", "part")
         .agg(
             F.sort_array(F.collect_set(F.struct("first", "last"))).alias("found"),
-            # Neighbours in the order: at most two per suffix of the text.
+            # At most two per suffix of the text.
             F.sort_array(F.collect_set("other")).alias("others"),
         )
         .withColumn("spans", _union("found"))

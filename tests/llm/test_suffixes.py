@@ -96,3 +96,28 @@ def test_words_that_differ_in_a_few_bits_only(frame, monkeypatch, together):
     rows += [(i + 2, " ".join([word, *passage, f"z{i}"])) for i, word in enumerate(["c17992", "c23170"])]
     found = got(suffixes.repeated_passages(frame(rows)))
     assert found == plain(rows, 50) and not sum(n for _, _, n in found)
+
+
+def whole(found):
+    rows = [(r["id"], r["n_words"], r["n_repeated"], r["spans"], r["others"]) for r in found.collect()]
+    return sorted(rows, key=repr)
+
+
+def test_rows_do_not_depend_on_how_frequent_a_head_is(frame, corpus, odd_rows, monkeypatch):
+    passage = [f"p{i}" for i in range(70)]
+    extra = [(1000 + i, " ".join([f"a{i}", *passage[i % 5 :], f"z{i % 3}"])) for i in range(40)]
+    rows = [*corpus, *odd_rows, *extra]
+    found = []
+    for together, parts in ((10_000, 1), (10_000, 7), (1, 7), (3, 2)):
+        monkeypatch.setattr(suffixes, "TOGETHER", together)
+        found.append(whole(suffixes.repeated_passages(frame(rows).repartition(parts))))
+    assert all(f == found[0] for f in found)
+
+
+@pytest.mark.parametrize("together", [1_000, 2])
+def test_others_are_the_first_place_and_the_last(frame, monkeypatch, together):
+    monkeypatch.setattr(suffixes, "TOGETHER", together)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"a{i} {passage} z{i}") for i in range(6)]
+    found = suffixes.repeated_passages(frame(rows)).collect()
+    assert {r["id"]: r["others"] for r in found} == {0: [5], **{i: [0] for i in range(1, 6)}}
