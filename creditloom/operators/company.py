@@ -204,7 +204,8 @@ def metrics_vs_market(
     )
     own = first_records(lean, [entity, year], order)
     means = [F.avg(col(name)).alias(f"__market{i}") for i, name in enumerate(present)]
-    market = lean.groupBy(col(year)).agg(*means)
+    # Written once; the join looks at its size first.
+    market = stage(lean.groupBy(col(year)).agg(*means), "market-means")
     both = lookup_join(own, market, [year])
     rows = [
         F.struct(

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from creditloom.catalog import ENTITY, YEAR
 from creditloom.functions.columns import col, numeric
 from creditloom.operators.joins import lookup_join
+from creditloom.staging import stage
 
 
 def filter_years(df: DataFrame, years: list[int], year: str = YEAR) -> DataFrame:
@@ -39,7 +40,8 @@ def last_k_entity_years(
     first = F.coalesce(F.try_element_at(years, F.lit(k)), F.array_min(years))
     known = df.where(col(entity).isNotNull() & col(year).isNotNull())
     cutoffs = known.groupBy(col(entity)).agg(first.alias("__first_year"))
-    joined = lookup_join(df, cutoffs, [entity])
+    # Written once; the join looks at its size first.
+    joined = lookup_join(df, stage(cutoffs, "first-years"), [entity])
     kept = joined.where(col(year) >= F.col("__first_year"))
     return kept.select(*[col(name) for name in df.columns])
 

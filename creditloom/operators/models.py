@@ -6,9 +6,8 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,8 @@ from creditloom.functions.columns import col, is_finite, numeric
 from creditloom.operators.evaluate import holdout_metrics
 from creditloom.operators.features import fold_number, in_train, split_stratified
 from creditloom.operators.forest import FINISH_ROWS, Forest, grow_forest
+from creditloom.operators.quantiles import exact_quantiles
+from creditloom.operators.segments import cluster
 from creditloom.staging import stage
 
 KEYS = (ENTITY, YEAR)
@@ -43,6 +44,17 @@ def with_inputs(df: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
+def _filling(medians: dict[str, float]) -> SQLTransformer:
+    """Adds each input with its exact median in place of missing values, as ``<input>_filled``."""
+    filled = [f"coalesce({f}, double('{m!r}')) AS {f}_filled" for f, m in medians.items()]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__")
+
+
+def _medians(rows: DataFrame, exprs: dict) -> dict[str, float]:
+    """Exact medians, all from the same passes; 0 for a column without values."""
+    return {name: m[0] if m else 0.0 for name, m in exact_quantiles(rows, exprs, [0.5]).items()}
+
+
 def _few_tasks(df: DataFrame, n: int) -> DataFrame:
     """Merge the partitions of a small iterative input; no effect on a large one."""
     return df.coalesce(max(1, -(-n // ROWS_PER_TASK)))
@@ -161,6 +173,28 @@ def _sizes(parts: DataFrame) -> _Sizes:
     return _Sizes(*counts.first())
 
 
+def size_guards(df: DataFrame, features: list[str], keys=KEYS) -> DataFrame:
+    """One row: complete rows, rows by part and label, and which models may be fitted."""
+    rows = _labelled(df, features, keys)
+    for name in features:
+        rows = rows.where(is_finite(col(name)))
+    train, positive = in_train(*[col(k) for k in keys]), F.col("label") == 1
+    counts = rows.agg(
+        F.count("*").alias("n_rows"),
+        F.count_if(train & positive).alias("train_pos"),
+        F.count_if(train & ~positive).alias("train_neg"),
+        F.count_if(~train).alias("test"),
+    )
+    whole = F.least("train_pos", "train_neg", "test") > 0
+    return counts.withColumns(
+        {
+            "enough_for_lr": whole & (F.col("n_rows") >= max(MIN_ROWS, MIN_CLEAN_ROWS)),
+            "enough_for_forest": whole & (F.col("n_rows") >= MIN_CLEAN_ROWS),
+            "enough_for_anomalies": F.col("n_rows") >= max(50, 3 * len(features)),
+        }
+    )
+
+
 def _fit(
     estimator: Pipeline, parts: DataFrame, sizes: _Sizes, features: list[str], keys
 ) -> Classifier:
@@ -183,8 +217,9 @@ def train_lr(
         return None
     names = _inputs(features)
     filled = [f"{f}_filled" for f in names]
+    training = with_inputs(parts.where("is_train"), features)
     steps = [
-        Imputer(inputCols=names, outputCols=filled, strategy="median"),
+        _filling(_medians(training, {f: F.col(f) for f in names})),
         VectorAssembler(inputCols=filled, outputCol="vector", handleInvalid="keep"),
         LogisticRegression(featuresCol="vector", labelCol="label", maxIter=max_iter),
     ]
@@ -283,19 +318,21 @@ def cv_lr(
         return df.sparkSession.createDataFrame([], result)
     filled = [f"{f}_filled" for f in names]
     lr = LogisticRegression(featuresCol="z", labelCol="label", maxIter=max_iter)
-    prepare = Pipeline(
-        stages=[
-            Imputer(inputCols=names, outputCols=filled, strategy="median"),
-            VectorAssembler(inputCols=filled, outputCol="vector", handleInvalid="keep"),
-            StandardScaler(inputCol="vector", outputCol="z", withMean=True, withStd=True),
-        ]
+    # The medians of all folds come from the same passes over the rows.
+    medians = _medians(
+        lean, {f"{k}:{f}": F.when(F.col("fold") != k, F.col(f)) for k in range(folds) for f in names}
     )
+    scaling = [
+        VectorAssembler(inputCols=filled, outputCol="vector", handleInvalid="keep"),
+        StandardScaler(inputCol="vector", outputCol="z", withMean=True, withStd=True),
+    ]
     settings = [(r, e) for r in reg_params for e in elastic_nets]
     distinct = list(dict.fromkeys((r, e if r else 0.0) for r, e in settings))
     grid = [{lr.regParam: r, lr.elasticNetParam: e} for r, e in distinct]
     sums = dict.fromkeys(distinct, 0.0)
     for k in range(folds):
         train, valid = lean.where(F.col("fold") != k), lean.where(F.col("fold") == k)
+        prepare = Pipeline(stages=[_filling({f: medians[f"{k}:{f}"] for f in names}), *scaling])
         for setting, area in zip(distinct, _fold_areas(train, valid, prepare, lr, grid)):
             sums[setting] += area / folds
     means = [sums[(r, e if r else 0.0)] for r, e in settings]
@@ -308,15 +345,9 @@ def kmeans_segments(
     df: DataFrame, features: list[str], keys=KEYS, k: int = 5, seed: int = 42
 ) -> DataFrame:
     """Cluster of every company-year with all ratios."""
-    complete = with_inputs(df, features).dropna(subset=_inputs(features))
-    lean = stage(complete.select(*[col(c) for c in keys], *_inputs(features)), "kmeans")
-    n = lean.count()
-    steps = [
-        VectorAssembler(inputCols=_inputs(features), outputCol="vector"),
-        StandardScaler(inputCol="vector", outputCol="z", withMean=True, withStd=True),
-        KMeans(featuresCol="z", predictionCol="cluster", k=k, seed=seed),
-    ]
-    fitted = Pipeline(stages=steps).fit(_few_tasks(lean, n))
-    return fitted.transform(lean).select(*[col(c) for c in keys], "cluster")
-
-
+    complete = with_inputs(df, features)
+    for name in _inputs(features):
+        complete = complete.where(is_finite(F.col(name)))
+    lean = complete.select(*[col(c) for c in keys], *_inputs(features))
+    found = cluster(lean, _inputs(features), k, seed)
+    return found.select(*[col(c) for c in keys], "cluster")

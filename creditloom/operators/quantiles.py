@@ -1,10 +1,10 @@
-"""Exact order statistics of whole columns without gathering a column in one task.
+"""Exact order statistics of whole columns in two scans, without gathering a column.
 
-A mergeable sketch proposes two cut values near each wanted rank, counts below and up to
-the cuts prove in which segment the rank lies, and the segment is cut again until few
-values are left. Cut values are segments of their own, so a value shared by a large part
-of the rows ends the search instead of stalling it. The driver sees the cuts and, at the
-end, a bounded list of values.
+The first scan counts the values and makes a mergeable sketch, whose values at evenly spaced
+shares bracket each wanted rank. The second scan counts the values on one side of each
+bracket and, by value, those inside; only these few are shuffled. The rank of a bracket's
+edge is thus known exactly, and the value is found in the counts. A value that a large part
+of the rows shares is one count.
 """
 
 import math
@@ -14,128 +14,170 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditloom.staging import stage
+
 SKETCH_ACCURACY = 10_000
-FINAL_VALUES = 1_000
+#: Evenly spaced shares at which the sketch is read.
+SHARES = 500
+#: Counted values that the driver takes at a time; more are written and searched first.
+FINAL_VALUES = 100_000
 
 
 @dataclass
-class _Segment:
-    """Closed interval known to hold the value of ``rank`` (0-based)."""
+class _Target:
+    """The value of ``rank`` (0-based) among ``n`` values lies in ``low`` to ``high``, and
+    about ``size`` values are in there at most."""
 
     name: str
-    expr: Column
     rank: int
+    n: int
     low: float
     high: float
-    below: int
-    inside: int
-
-    def values(self) -> Column:
-        return F.when(self.expr.between(F.lit(self.low), F.lit(self.high)), self.expr)
-
-    def is_open(self) -> bool:
-        return self.low < self.high and self.inside > FINAL_VALUES
-
-    def cut(self, low: float, high: float, counts: list[int]) -> None:
-        """``counts``: values under ``low``, up to ``low``, under ``high``, up to ``high``."""
-        edges = [self.below, *counts, self.below + self.inside]
-        under, over = math.nextafter(low, -math.inf), math.nextafter(low, math.inf)
-        under2, over2 = math.nextafter(high, -math.inf), math.nextafter(high, math.inf)
-        spans = [(self.low, under), (low, low), (over, under2), (high, high), (over2, self.high)]
-        for i, span in enumerate(spans):
-            if edges[i] <= self.rank < edges[i + 1]:
-                self.low, self.high = span
-                self.below, self.inside = edges[i], edges[i + 1] - edges[i]
-                return
+    size: float
+    sure: bool = False
+
+    @property
+    def bracket(self) -> tuple[str, float, float]:
+        return self.name, self.low, self.high
+
+    @property
+    def upper(self) -> bool:
+        """Whether fewer values lie above the bracket than below."""
+        return 2 * self.rank > self.n
+
+
+def _shares() -> list[float]:
+    return [i / SHARES for i in range(1, SHARES)]
+
+
+def _targets(name: str, ranks: list[int], totals: list) -> list[_Target]:
+    n, low, high, grid = totals
+    edges, margin = [low, *grid, high], 2.0 / SKETCH_ACCURACY
+    found = []
+    for rank in ranks:
+        share = (rank + 0.5) / n
+        first = max(0, math.floor((share - margin) * SHARES))
+        last = min(SHARES, math.ceil((share + margin) * SHARES))
+        size = 1 if edges[first] == edges[last] else min(n, ((last - first) / SHARES + 2 * margin) * n)
+        whole = first == 0 and last == SHARES
+        found.append(_Target(name, rank, n, edges[first], edges[last], size, whole))
+    return found
+
+
+def _counted(df: DataFrame, exprs: dict[str, Column], brackets: dict) -> DataFrame:
+    """(b, x, n): values inside each bracket with their numbers, and with NULL for x the
+    number of values beyond it, on the side where they are few."""
+    marks = []
+    for (name, low, high, upper), b in brackets.items():
+        x = exprs[name]
+        inside = F.struct(F.lit(b).alias("b"), x.alias("x"))
+        beyond = F.struct(F.lit(b).alias("b"), F.lit(None).cast("double").alias("x"))
+        side = x > F.lit(high) if upper else x < F.lit(low)
+        marks.append(F.when(x.between(F.lit(low), F.lit(high)), inside).when(side, beyond))
+    rows = df.select(F.inline(F.array_compact(F.array(*marks))))
+    return rows.groupBy("b", "x").agg(F.count("*").alias("n"))
+
+
+def _narrowed(counts: DataFrame, b: int, rank: int, distinct: int) -> list[tuple[float, int]]:
+    """Values around the one of ``rank`` inside a bracket, with ``rank`` taken on to them."""
+    rows = counts.where((F.col("b") == b) & F.col("x").isNotNull())
+    below = 0
+    while distinct > FINAL_VALUES:
+        cuts = sorted(set(rows.agg(F.percentile_approx("x", _shares(), SKETCH_ACCURACY)).first()[0]))
+        cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("x")))
+        found = rows.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("d"))
+        for r in sorted(found.collect()):
+            if rank < below + r["n"]:
+                break
+            below += r["n"]
+        if r["cell"] > 0:
+            rows = rows.where(F.col("x") > F.lit(cuts[r["cell"] - 1]))
+        if r["cell"] < len(cuts):
+            rows = rows.where(F.col("x") <= F.lit(cuts[r["cell"]]))
+        distinct = r["d"]
+    return [(-math.inf, below)] * (below > 0) + [(r["x"], r["n"]) for r in rows.collect()]
+
+
+def _at_rank(values: list[tuple[float, int]], rank: int) -> float:
+    for x, n in sorted(values):
+        if rank < n:
+            return x
+        rank -= n
+    raise AssertionError("the rank lies inside the bracket")
+
+
+def _settle(df: DataFrame, exprs: dict[str, Column], targets: list[_Target], result: dict) -> None:
+    """Fill in the values of ``targets``; those that miss their bracket get the whole range."""
+    brackets: dict[tuple, int] = {}
+    for t in targets:
+        brackets.setdefault((*t.bracket, t.upper), len(brackets))
+    counts = _counted(df, exprs, brackets)
+    sizes = {(*t.bracket, t.upper): t.size for t in targets}
+    few = sum(sizes.values()) <= FINAL_VALUES
+    lists: dict[int, list[tuple[float, int]]] = {b: [] for b in brackets.values()}
+    beyond, inside, distinct = ({b: 0 for b in lists} for _ in range(3))
+    if few:
+        for r in counts.collect():
+            if r["x"] is None:
+                beyond[r["b"]] += r["n"]
+            else:
+                lists[r["b"]].append((r["x"], r["n"]))
+                inside[r["b"]] += r["n"]
+    else:
+        counts = stage(counts, "brackets")
+        known = F.col("x").isNotNull()
+        totals = counts.groupBy("b").agg(
+            F.sum(F.when(~known, F.col("n")).otherwise(0)).alias("beyond"),
+            F.sum(F.when(known, F.col("n")).otherwise(0)).alias("inside"),
+            F.count("x").alias("distinct"),
+        )
+        for r in totals.collect():
+            beyond[r["b"]], inside[r["b"]], distinct[r["b"]] = r["beyond"], r["inside"], r["distinct"]
+    missed = []
+    for t in targets:
+        b = brackets[(*t.bracket, t.upper)]
+        below = t.n - beyond[b] - inside[b] if t.upper else beyond[b]
+        if not below <= t.rank < below + inside[b]:
+            if t.sure:
+                raise AssertionError(f"{t.name}: the rows changed between two scans")
+            missed.append(t)
+            continue
+        values = lists[b] if few else _narrowed(counts, b, t.rank - below, distinct[b])
+        result[t.name][1][t.rank] = _at_rank(values, t.rank - below)
+    if missed:
+        ends = [F.min(exprs[t.name]) for t in missed] + [F.max(exprs[t.name]) for t in missed]
+        found = _one_row(df, ends)
+        for i, t in enumerate(missed):
+            t.low, t.high, t.size, t.sure = found[i], found[i + len(missed)], t.n, True
+        _settle(df, exprs, missed, result)
 
 
 def _one_row(df: DataFrame, exprs: list[Column]) -> list:
     return list(df.agg(*[e.alias(f"c{i}") for i, e in enumerate(exprs)]).first())
 
 
-def _propose(df: DataFrame, segments: list[_Segment]) -> list[tuple[float, float]]:
-    """Two cut values per segment; segments over the same interval share one sketch."""
-    step = 2.0 / SKETCH_ACCURACY
-    groups: dict[tuple, list[int]] = {}
-    for i, s in enumerate(segments):
-        groups.setdefault((s.name, s.low, s.high), []).append(i)
-    sketches = []
-    for members in groups.values():
-        shares = []
-        for s in (segments[i] for i in members):
-            share = (s.rank - s.below + 0.5) / s.inside
-            shares += [max(0.0, share - step), min(1.0, share + step)]
-        sketches.append(
-            F.percentile_approx(segments[members[0]].values(), shares, SKETCH_ACCURACY)
-        )
-    cuts: list[tuple[float, float]] = [(0.0, 0.0)] * len(segments)
-    for members, values in zip(groups.values(), _one_row(df, sketches)):
-        for k, i in enumerate(members):
-            cuts[i] = (values[2 * k], values[2 * k + 1])
-    return cuts
-
-
-def _narrow(df: DataFrame, segments: list[_Segment]) -> None:
-    cuts = _propose(df, segments)
-    counts = []
-    for s, pair in zip(segments, cuts):
-        for value in pair:
-            counts.append(F.count_if(s.expr < F.lit(value)))
-            counts.append(F.count_if(s.expr <= F.lit(value)))
-    found = _one_row(df, counts)
-    for i, (s, (low, high)) in enumerate(zip(segments, cuts)):
-        s.cut(low, high, found[4 * i : 4 * i + 4])
-
-
-def _pick(df: DataFrame, segments: list[_Segment]) -> list[float]:
-    """Values of the ranks; each segment holds at most ``FINAL_VALUES`` values."""
-    wanted = [(i, s) for i, s in enumerate(segments) if s.low < s.high]
-    groups: dict[int, list] = {i: [] for i, _ in wanted}
-    if wanted:
-        pairs = [F.struct(F.lit(i).alias("i"), s.values().alias("x")) for i, s in wanted]
-        counted = (
-            df.select(F.inline(F.array(*pairs)))
-            .where(F.col("x").isNotNull())
-            .groupBy("i", "x")
-            .count()
-        )
-        for row in counted.collect():
-            groups[row["i"]].append((row["x"], row["count"]))
-    result = []
-    for i, s in enumerate(segments):
-        value, left = s.low, s.rank - s.below
-        for value, n in sorted(groups.get(i, [])):
-            if left < n:
-                break
-            left -= n
-        result.append(value)
-    return result
-
-
 def order_statistics(
     df: DataFrame, exprs: dict[str, Column], ranks: Callable[[int], list[int]]
 ) -> dict[str, tuple[int, dict[int, float]]]:
     """For each expression its non-null count n and the values at the ranks ``ranks(n)``.
 
-    Expressions are doubles without NaN. All of them share each pass over ``df``.
+    Expressions are doubles without NaN. All of them share both scans of ``df``.
     """
     names = list(exprs)
     totals = []
-    for name in names:
-        totals += [F.count(exprs[name]), F.min(exprs[name]), F.max(exprs[name])]
+    for x in exprs.values():
+        sketch = F.percentile_approx(x, _shares(), SKETCH_ACCURACY)
+        totals += [F.count(x), F.min(x), F.max(x), sketch]
     found = _one_row(df, totals)
     result: dict[str, tuple[int, dict[int, float]]] = {}
-    segments: list[tuple[str, _Segment]] = []
+    targets: list[_Target] = []
     for i, name in enumerate(names):
-        n, low, high = found[3 * i : 3 * i + 3]
-        result[name] = (n, {})
-        if n:
-            for rank in sorted(set(ranks(n))):
-                segments.append((name, _Segment(name, exprs[name], rank, low, high, 0, n)))
-    while still_open := [s for _, s in segments if s.is_open()]:
-        _narrow(df, still_open)
-    for (name, s), value in zip(segments, _pick(df, [s for _, s in segments])):
-        result[name][1][s.rank] = value
+        own = found[4 * i : 4 * i + 4]
+        result[name] = (own[0], {})
+        if own[0]:
+            targets += _targets(name, sorted(set(ranks(own[0]))), own)
+    if targets:
+        _settle(df, exprs, targets, result)
     return result
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from creditloom.functions.columns import col, ig_label
+from creditloom.functions.columns import col, ig_label, is_finite
 from creditloom.operators import (
     anomaly,
     evaluate,
@@ -455,3 +455,66 @@ def isoforest_flags(spark, sf_dir):
 @query()
 def isoforest_raw(spark, sf_dir):
     return anomaly.isoforest_raw(model_rows(spark, sf_dir), FEATURES)
+
+
+@query(
+    q.PANEL
+    + f"""SELECT {KEYS}, "ROA" FROM panel
+WHERE "ROA" IS NOT NULL AND "Year" NOT IN (1995, 1996, 1997)"""
+)
+def finite_rows(spark, sf_dir):
+    """Values that are infinite, negative infinite or no number in three of the years."""
+    year = F.col("Year")
+    odd = F.when(year == 1995, float("inf")).when(year == 1996, float("nan"))
+    odd = odd.when(year == 1997, float("-inf")).otherwise(col("ROA"))
+    rows = panel(spark, sf_dir).select("Company Code", "Year", odd.alias("ROA"))
+    return rows.where(is_finite(col("ROA")))
+
+
+@query(
+    q.COMPLETE
+    + f""", parts AS (SELECT label, {q.hash32(ID)} % 100 < 80 AS is_train FROM ml),
+counts AS (SELECT count(*) AS n_rows, count(*) FILTER (is_train AND label = 1) AS train_pos,
+  count(*) FILTER (is_train AND label = 0) AS train_neg, count(*) FILTER (NOT is_train) AS test
+  FROM parts)
+SELECT *, least(train_pos, train_neg, test) > 0 AND n_rows >= 200 AS enough_for_lr,
+  least(train_pos, train_neg, test) > 0 AND n_rows >= 20 AS enough_for_forest,
+  n_rows >= {max(50, 3 * len(FEATURES))} AS enough_for_anomalies FROM counts"""
+)
+def size_guards(spark, sf_dir):
+    return models.size_guards(model_rows(spark, sf_dir), FEATURES)
+
+
+TERMS = ["intercept", *FEATURES]
+
+
+@query("SELECT unnest([" + ", ".join(f"'{t}'" for t in TERMS) + "]) AS term, true AS at_optimum")
+def lr_optimum(spark, sf_dir):
+    """The slope of the loss at the fitted regression, per deviation of each ratio, is 0."""
+    fitted = models.train_lr(model_rows(spark, sf_dir), FEATURES)
+    copies = {f"z{i}": col(n) for i, n in enumerate(FEATURES)}
+    scored = prep.standardize(fitted.predict(fitted.train).withColumns(copies), list(copies))
+    off = F.col("p_ig") - F.col("label")
+    slopes = [F.avg(off).alias("intercept")]
+    slopes += [F.avg(off * F.col(f"z{i}")).alias(n) for i, n in enumerate(FEATURES)]
+    pairs = [
+        F.struct(F.lit(t).alias("term"), (F.abs(col(t)) < 1e-3).alias("at_optimum")) for t in TERMS
+    ]
+    return scored.agg(*slopes).select(F.inline(F.array(*pairs)))
+
+
+@query(
+    q.PANEL
+    + f"""SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_off FROM panel
+WHERE {" AND ".join(f'"{f}" IS NOT NULL' for f in FEATURES)}"""
+)
+def attribution_totals(spark, sf_dir):
+    """Rows whose attributions and base value do not add up to the forest's P(IG)."""
+    fitted = forest(spark, sf_dir, **EXPLAINED)
+    rows = panel(spark, sf_dir)
+    values = explain.tree_attributions(fitted, rows).groupBy("Company Code", "Year").agg(
+        (F.sum("value") + F.max("base_value")).alias("total")
+    )
+    both = models.rf_score_ig(fitted, rows).join(values, ["Company Code", "Year"], "left")
+    wrong = F.coalesce(F.abs(F.col("total") - F.col("p_ig")) > 1e-9, F.lit(True))
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(wrong).alias("n_off"))

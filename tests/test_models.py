@@ -127,6 +127,32 @@ def test_clusters(spark):
     assert len(pairs) == 5 and len({c for _, c in pairs}) == 5
 
 
+def test_clusters_are_a_fixed_point(spark):
+    """Each row is nearest to the mean of its own cluster; fewer rows make fewer clusters."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(800, 2)) * [3.0, 0.1]
+    rows = [(i, 2010, 0, *map(float, v), 0.0, 0.0) for i, v in enumerate(x)]
+    found = models.kmeans_segments(spark.createDataFrame(rows, SCHEMA), NAMES[:2], k=4)
+    own = np.array([r["cluster"] for r in sorted(found.collect())])
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    means = np.array([z[own == c].mean(axis=0) for c in range(4)])
+    away = ((z[:, None] - means[None]) ** 2).sum(axis=2)
+    # After the last of 20 rounds a few rows at the borders may still move.
+    assert (away.argmin(axis=1) == own).mean() > 0.98
+    same = models.kmeans_segments(spark.createDataFrame([rows[0]] * 5 + [rows[1]], SCHEMA), NAMES[:2])
+    assert len({r["cluster"] for r in same.collect()}) == 2
+    assert models.kmeans_segments(spark.createDataFrame([], SCHEMA), NAMES).collect() == []
+
+
+def test_medians_of_a_model_are_exact(spark):
+    rng = random.Random(3)
+    rows = [(i, 2010, i % 2, rng.gauss(i % 2, 1) if i % 3 else None, 0.0, 0.0, 0.0) for i in range(901)]
+    fitted = models.train_lr(spark.createDataFrame(rows, SCHEMA), ["ROA", "ROE"])
+    known = [r["ROA"] for r in fitted.train.collect() if r["ROA"] is not None]
+    filled = fitted.model.transform(models.with_inputs(fitted.train, ["ROA", "ROE"]))
+    assert {r["f0_filled"] for r in filled.where("f0 IS NULL").collect()} == {float(np.median(known))}
+
+
 def test_forest(forest, separable):
     assert forest.metrics().first()["auc_roc"] > 0.9
     some = separable.withColumn("ROA", F.when(F.col("Year") == 2010, F.col("ROA")))

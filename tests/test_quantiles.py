@@ -47,3 +47,21 @@ def test_missing_and_infinite(spark):
     found = quantiles.exact_quantiles(df, exprs, [0.0, 0.5, 1.0])
     assert found["none"] is None
     assert found["x"] == [float("-inf"), 1.0, float("inf")]
+
+
+def test_two_scans_whatever_the_values(spark, monkeypatch):
+    """Also with hot values and many distinct ones; what is searched further is written once."""
+    scans = []
+    plain = quantiles._one_row
+    monkeypatch.setattr(quantiles, "_one_row", lambda df, e: scans.append("sketch") or plain(df, e))
+    counted = quantiles._counted
+    monkeypatch.setattr(quantiles, "_counted", lambda *a: scans.append("counts") or counted(*a))
+    rng = random.Random(3)
+    values = [rng.choice([0.0, 1.0, rng.gauss(0, 1)]) for _ in range(20_000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    for final in (100_000, 3):
+        monkeypatch.setattr(quantiles, "FINAL_VALUES", final)
+        scans.clear()
+        found = quantiles.exact_quantiles(df, {"x": F.col("x")}, [0.01, 0.5, 0.9])["x"]
+        assert found == pytest.approx(np.quantile(values, [0.01, 0.5, 0.9]).tolist(), rel=1e-12)
+        assert scans == ["sketch", "counts"]

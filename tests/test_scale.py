@@ -7,7 +7,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from creditloom.functions.columns import col, ig_label
-from creditloom.operators import clip, company, evaluate, features, filters, joins, market, running
+from creditloom.operators import (
+    clip,
+    company,
+    evaluate,
+    features,
+    filters,
+    joins,
+    market,
+    models,
+    peers,
+    running,
+)
 
 PACKAGE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "creditloom")
 
@@ -116,6 +127,9 @@ def operators():
     yield "split", lambda d: features.split_stratified(labelled(d))
     yield "roc", lambda d: evaluate.roc_points(labelled(d), score="Score")
     yield "sweep", lambda d: evaluate.threshold_sweep(labelled(d), score="Score")
+    yield "segments", lambda d: models.kmeans_segments(d, ["Score", "ROA"])
+    yield "peers", lambda d: peers.all_peers(d, ["Score", "ROA"], n=3, block_points=64)
+    yield "forest", lambda d: models.train_rf(labelled(d), ["Score", "ROA"], trees=4).forest.nodes
 
 
 @pytest.mark.parametrize("operator", [f for _, f in operators()], ids=[n for n, _ in operators()])
@@ -171,12 +185,13 @@ def sources():
 def test_rows_stay_on_the_cluster():
     """Bounded results only reach the driver, each at a place known here."""
     allowed = {
-        ("operators/quantiles.py", "collect"): 1,
+        ("operators/quantiles.py", "collect"): 4,
         ("operators/explain.py", "collect"): 1,
         ("operators/joins.py", "collect"): 1,
         ("operators/neighbours.py", "collect"): 2,
         ("operators/forest.py", "collect"): 4,
         ("operators/anomaly.py", "toPandas"): 1,
+        ("operators/segments.py", "collect"): 2,
         ("sources/resolve.py", "collect"): 1,
     }
     found = {}
