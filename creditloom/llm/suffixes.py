@@ -251,10 +251,12 @@ def _frequent_matches(suffixes: DataFrame, length: int) -> DataFrame:
     shared = passages.groupBy("key").agg(
         F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    found = passages.select("key", "class", "number").join(shared.where("n > 1"), "key")
+    # Written, so that both sides of a join are read by key and a hot one can be split.
+    shared = stage(shared.where("n > 1").drop("n"), "shared-passages")
+    found = passages.select("key", "class", "number").join(shared, "key")
     end = F.struct("number", "low", "high")
     ends = found.groupBy("class").agg(F.min(end).alias("left"), F.max(end).alias("right"))
-    rows = members.drop("windows").join(ends, "class")
+    rows = members.drop("windows").join(stage(ends, "class-ends"), "class")
 
     def word(end: str) -> Column:
         return (F.col("first") + F.col(f"{end}.number")).cast("int")
