@@ -45,7 +45,7 @@ def _kept_words(text: str):
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-@query()
+@query(sql.OP9)
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = phrases.remove_repeats(docs, width=20)

@@ -280,3 +280,24 @@ SELECT w.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.low, w.vec_id) AS compo
        coalesce(c.low, w.vec_id) = w.vec_id AS kept
 FROM embeddings w LEFT JOIN c ON w.vec_id = c.vec_id LEFT JOIN n ON w.vec_id = n.vec_id
 """
+
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i : i + 19], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (
+  SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+k AS (
+  SELECT x.doc_id AS doc_id, string_agg(word, ' ' ORDER BY x.p) AS kept
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x
+  LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p
+  WHERE gone.p IS NULL GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN k ON d.doc_id = k.doc_id
+"""
