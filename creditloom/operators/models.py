@@ -2,12 +2,11 @@
 
 from dataclasses import dataclass
 from functools import cached_property
-from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from creditloom.functions.columns import col, is_finite, numeric
 from creditloom.operators.evaluate import holdout_metrics
 from creditloom.operators.features import fold_number, in_train, split_stratified
 from creditloom.operators.forest import FINISH_ROWS, Forest, grow_forest
+from creditloom.operators.lr_grid import Folds, fit_grid, grid_areas
 from creditloom.operators.quantiles import exact_quantiles
 from creditloom.operators.segments import cluster
 from creditloom.staging import stage
@@ -277,24 +277,6 @@ def rf_score_ig(fitted: ForestClassifier | None, df: DataFrame, keys=KEYS) -> Da
     return score_ig(fitted, usable, keys)
 
 
-def _fold_areas(
-    train: DataFrame, valid: DataFrame, prepare: Pipeline, lr: LogisticRegression, grid: list
-) -> list[float]:
-    """ROC area of each setting on one fold. Imputation and scaling do not depend on the
-    setting, so they are fitted once per fold, on its training part."""
-    fitted = prepare.fit(train)
-    ready = fitted.transform(train).select("label", "z").persist()
-    held = fitted.transform(valid).select("label", "z").persist()
-    # One bin per distinct score: the area is exact.
-    evaluator = BinaryClassificationEvaluator(labelCol="label", numBins=0)
-    try:
-        with ThreadPool(len(grid)) as pool:
-            return pool.map(lambda g: evaluator.evaluate(lr.fit(ready, g).transform(held)), grid)
-    finally:
-        ready.unpersist()
-        held.unpersist()
-
-
 def cv_lr(
     df: DataFrame,
     features: list[str],
@@ -306,7 +288,9 @@ def cv_lr(
 ) -> DataFrame:
     """Mean ROC area over the folds for each setting, the best one marked.
 
-    Without regularisation the elastic-net share has no effect, so that fit is shared.
+    All folds and settings are fitted together; imputation and scaling are those of the
+    fold's training part. Without regularisation the elastic-net share has no effect, so
+    that fit is shared.
     """
     result = "reg_param double, elastic_net double, mean_auc double, is_best boolean"
     fold = fold_number(*[col(k) for k in keys], folds=folds).alias("fold")
@@ -316,26 +300,17 @@ def cv_lr(
     lean = _few_tasks(staged, staged.count())
     if lean.select("label").distinct().count() < 2:
         return df.sparkSession.createDataFrame([], result)
-    filled = [f"{f}_filled" for f in names]
-    lr = LogisticRegression(featuresCol="z", labelCol="label", maxIter=max_iter)
     # The medians of all folds come from the same passes over the rows.
     medians = _medians(
         lean, {f"{k}:{f}": F.when(F.col("fold") != k, F.col(f)) for k in range(folds) for f in names}
     )
-    scaling = [
-        VectorAssembler(inputCols=filled, outputCol="vector", handleInvalid="keep"),
-        StandardScaler(inputCol="vector", outputCol="z", withMean=True, withStd=True),
-    ]
+    table = np.array([[medians[f"{k}:{f}"] for f in names] for k in range(folds)])
+    data = Folds(lean, names, folds, table)
     settings = [(r, e) for r in reg_params for e in elastic_nets]
     distinct = list(dict.fromkeys((r, e if r else 0.0) for r, e in settings))
-    grid = [{lr.regParam: r, lr.elasticNetParam: e} for r, e in distinct]
-    sums = dict.fromkeys(distinct, 0.0)
-    for k in range(folds):
-        train, valid = lean.where(F.col("fold") != k), lean.where(F.col("fold") == k)
-        prepare = Pipeline(stages=[_filling({f: medians[f"{k}:{f}"] for f in names}), *scaling])
-        for setting, area in zip(distinct, _fold_areas(train, valid, prepare, lr, grid)):
-            sums[setting] += area / folds
-    means = [sums[(r, e if r else 0.0)] for r, e in settings]
+    areas = grid_areas(lean, data, fit_grid(lean, data, distinct, max_iter))
+    of = {g: sum(areas.get((k, i), 0.0) for k in range(folds)) / folds for i, g in enumerate(distinct)}
+    means = [of[(r, e if r else 0.0)] for r, e in settings]
     best = means.index(max(means))
     found = [(r, e, m, i == best) for i, ((r, e), m) in enumerate(zip(settings, means))]
     return df.sparkSession.createDataFrame(found, result)

@@ -113,6 +113,50 @@ def test_cross_validation(separable):
     assert plain[0] == plain[1]
 
 
+def test_grid_of_regressions(spark):
+    """Every fit is at its optimum, areas are exact, passes do not follow the settings."""
+    from creditloom.operators import lr_grid
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(900, 3)) * [1.0, 4.0, 0.1]
+    label = (x[:, 0] + x[:, 1] / 4 + rng.normal(size=900) > 0).astype(float)
+    gap = np.where(rng.random(900) < 0.1, np.nan, x[:, 2])
+    rows = [
+        (float(y), i % 3, float(a), float(b), None if np.isnan(c) else float(c))
+        for i, (y, (a, b, _), c) in enumerate(zip(label, x, gap))
+    ]
+    df = spark.createDataFrame(rows, "label double, fold int, f0 double, f1 double, f2 double").repartition(5)
+    medians = np.array([np.nanmedian(np.column_stack([x[:, :2], gap])[np.arange(900) % 3 != k], axis=0) for k in range(3)])
+    passes = []
+    plain = lr_grid._sums
+    lr_grid._sums = lambda *a: passes.append(1) or plain(*a)
+    try:
+        data = lr_grid.Folds(df, ["f0", "f1", "f2"], 3, medians)
+        settings = [(0.0, 0.0), (0.01, 0.5), (0.1, 1.0), (0.1, 0.0), (5.0, 1.0)]
+        fits = lr_grid.fit_grid(df, data, settings)
+    finally:
+        lr_grid._sums = plain
+    assert len(passes) < 15
+    areas = lr_grid.grid_areas(df, data, fits)
+    for (k, s), w in fits.items():
+        reg, share = settings[s]
+        own = np.arange(900) % 3 != k
+        full = np.column_stack([x[:, :2], np.where(np.isnan(gap), medians[k, 2], gap)])
+        z = (full - full[own].mean(axis=0)) / full[own].std(axis=0, ddof=1)
+        z = np.column_stack([np.ones(900), z])
+        slope = z[own].T @ (1 / (1 + np.exp(-z[own] @ w)) - label[own]) / own.sum()
+        slope[1:] += reg * (1 - share) * w[1:]
+        for j, g in enumerate(slope):
+            bound = reg * share if j else 0.0
+            at = abs(g) - bound if j and w[j] == 0 else abs(g + bound * np.sign(w[j]))
+            assert at < 1e-6
+        score = z[~own] @ w
+        up, down = score[label[~own] == 1], score[label[~own] == 0]
+        area = ((up[:, None] > down).sum() + (up[:, None] == down).sum() / 2) / len(up) / len(down)
+        assert areas[k, s] == pytest.approx(area, abs=1e-9)
+    assert not fits[0, 4][1:].any()
+
+
 def test_clusters(spark):
     rng = random.Random(2)
     made = []

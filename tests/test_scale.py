@@ -188,6 +188,7 @@ def test_rows_stay_on_the_cluster():
         ("operators/quantiles.py", "collect"): 4,
         ("operators/explain.py", "collect"): 1,
         ("operators/joins.py", "collect"): 1,
+        ("operators/lr_grid.py", "collect"): 2,
         ("operators/neighbours.py", "collect"): 2,
         ("operators/forest.py", "collect"): 4,
         ("operators/anomaly.py", "toPandas"): 1,
