@@ -46,8 +46,11 @@ class _Target:
         return 2 * self.rank > self.n
 
 
-def _shares() -> list[float]:
-    return [i / SHARES for i in range(1, SHARES)]
+def _sketch(x: Column | str) -> Column:
+    """Values at the shares. One expression for all of them: a literal each takes longer to
+    send to the JVM than a small table takes to read."""
+    shares = ", ".join(f"{i / SHARES!r}D" for i in range(1, SHARES))
+    return F.percentile_approx(x, F.expr(f"array({shares})"), SKETCH_ACCURACY)
 
 
 def _targets(name: str, ranks: list[int], totals: list) -> list[_Target]:
@@ -83,7 +86,7 @@ def _narrowed(counts: DataFrame, b: int, rank: int, distinct: int) -> list[tuple
     rows = counts.where((F.col("b") == b) & F.col("x").isNotNull())
     below = 0
     while distinct > FINAL_VALUES:
-        cuts = sorted(set(rows.agg(F.percentile_approx("x", _shares(), SKETCH_ACCURACY)).first()[0]))
+        cuts = sorted(set(rows.agg(_sketch("x")).first()[0]))
         cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("x")))
         found = rows.groupBy(cell.alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("d"))
         for r in sorted(found.collect()):
@@ -166,8 +169,7 @@ def order_statistics(
     names = list(exprs)
     totals = []
     for x in exprs.values():
-        sketch = F.percentile_approx(x, _shares(), SKETCH_ACCURACY)
-        totals += [F.count(x), F.min(x), F.max(x), sketch]
+        totals += [F.count(x), F.min(x), F.max(x), _sketch(x)]
     found = _one_row(df, totals)
     result: dict[str, tuple[int, dict[int, float]]] = {}
     targets: list[_Target] = []
