@@ -37,5 +37,5 @@ def test_empty_documents(spark, folder, tmp_path):
 
 
 def test_registered_names():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(ORACLES) <= set(QUERIES)
