@@ -3,26 +3,43 @@
 Every source has a weight and a schedule, a piecewise linear weight over training time
 from 0 to 1. The sources share the words of all documents by weight, but no source gives
 more than ``most`` times its own words; what that leaves is shared by weight among the
-others. Inside a source documents come in the order of a hash: whole passes over the
-source, then as many documents as the rest of its target holds, then the one document whose
-size is closest to the words still missing. The words before a copy are a share of the source's target; the
-inverse of the integrated schedule turns that share into the copy's training position.
+others. Inside a source documents come in the order of a hash of id and text, in whole
+passes as long as the target holds them. Of a last pass it holds a part. First come its large
+documents, those of more than a sixteenth of that part, in hash order up to the first that
+does not fit; others fill what is left, in hash order up to the first that does not fit; the
+gap then is closed by the smallest unused documents, as long as each brings the words nearer
+to the target. So a source ends short of its target by at most half of its smallest unused
+document (or uses all), or beyond it by at most half of the document that it took last, to
+which every unused one is at least equal.
+
+The words before a copy are a share of the source's target (documents of one size that close
+the gap share their place); the inverse of the integrated schedule turns that share into the
+copy's training position.
 
 Sums along a source are taken in buckets of about the square root of its documents, so
 neither a hot source nor its list of buckets meets in one task.
 
 Null and empty texts have size 0 and are taken like others, with no words. Documents
-without a source form one source, the last. Ties in the hash are ordered by id, size and
-text, so reruns agree; equal rows share their results in any order.
+without a source form one source, the last. Equal rows are counted and placed together, so
+that no task holds a row for each of them; rows of one id, or without one, are told apart by
+their texts. Reruns agree; equal rows share their results in any order.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from creditloom.llm.rows import row_hash
+from creditloom.operators.joins import lookup_join
 from creditloom.staging import stage
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
+#: Documents of more than a sixteenth of the words that a last pass takes come first in it.
+LARGE_PART = 16
+#: Equal rows that one task numbers.
+TOGETHER = 10_000
 #: Weight over time, relative to its mean, of the sources with each of the weights.
 SCHEDULES = (
     ((0.0, 1.5), (1.0, 0.5)),
@@ -44,10 +61,6 @@ def n_words(text: Column) -> Column:
     )
 
 
-def _row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def _segments(schedule: tuple) -> Column:
     """Start, weight, slope and integral before of each piece, scaled to integral 1."""
     pieces = list(zip(schedule, schedule[1:], strict=False))
@@ -117,25 +130,114 @@ def source_targets(
     )
 
 
-def _closing_documents(placed: DataFrame, most: int, few_sources: bool) -> DataFrame:
-    """Per source with a gap: rank, filled and the place (``closing_ahead``) of the document
-    whose size is closest to the gap that the documents that fit have left."""
-    fitted = F.when(F.col("fits"), F.col("ahead") + F.col("size")).otherwise(0)
-    gaps = placed.groupBy("rank").agg(F.max(fitted).alias("filled"), F.max("rest").alias("whole"))
-    gaps = gaps.withColumn("gap", F.col("whole") - F.col("filled")).where("gap > 0")
-    # Without a shuffle by source the nearest document is found on the map side first.
-    gaps = F.broadcast(gaps) if few_sources else gaps
-    open_ = placed.where(~F.col("fits") & (F.col("passes") < most)).join(gaps, "rank")
-    off = F.abs(F.col("size") - F.col("gap"))
-    # Places of documents with words differ inside a source.
-    nearest = F.min_by("ahead", F.struct(off.alias("off"), "draw", "ahead"))
-    return (
-        open_.where(off < F.col("gap"))
-        .groupBy("rank")
-        .agg(nearest.alias("closing_ahead"), F.max("filled").alias("filled"))
+def _fitting(n: Column, size: Column, ahead: Column, room: Column) -> Column:
+    """How many of ``n`` equal documents end within the room, each behind the one before."""
+    guess = F.greatest(F.lit(0), F.least(n, F.floor((room - ahead) / size)))
+    # The division may round: the sums decide.
+    guess = guess - ((guess > 0) & (ahead + guess * size > room)).cast("long")
+    guess = guess + ((guess < n) & (ahead + (guess + 1) * size <= room)).cast("long")
+    return F.when(size > 0, guess).otherwise(F.when(ahead <= room, n).otherwise(0)).cast("long")
+
+
+def _closing(n: Column, size: Column, ahead: Column, room: Column) -> Column:
+    """How many of ``n`` equal documents bring the words nearer to the room."""
+
+    def nearer(i: Column) -> Column:
+        return 2 * (room - (ahead + i * size)) > size
+
+    guess = F.greatest(F.lit(0), F.least(n, F.floor((room - ahead) / size + 0.5)))
+    guess = guess - ((guess > 0) & ~nearer(guess - 1)).cast("long")
+    guess = guess + ((guess < n) & nearer(guess)).cast("long")
+    return F.when(size > 0, guess).otherwise(0).cast("long")
+
+
+def _ahead(rows: DataFrame, amounts: dict[str, Column]) -> DataFrame:
+    """Add the sums of some amounts over the rows of the source that come before in hash order."""
+    names = {f"__{name}": name for name in amounts}
+    rows = rows.withColumns({f"__{name}": amount for name, amount in amounts.items()})
+    sums = rows.groupBy("rank", "bucket").agg(*[F.sum(c).alias(c) for c in names])
+    over = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        "rank", "bucket", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}_offset") for c in names]
+    )
+    inside = Window.partitionBy("rank", "bucket").orderBy("draw", "id", "size", "row_hash")
+    inside = inside.rowsBetween(Window.unboundedPreceding, -1)
+    before = {
+        name: F.col(f"{c}_offset") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c, name in names.items()
+    }
+    rows = rows.join(offsets, ["rank", "bucket"]).withColumns(before)
+    return rows.drop(*names, *[f"{c}_offset" for c in names])
+
+
+def _filled(rows: DataFrame, ahead: str, taken: str, name: str) -> DataFrame:
+    """One row per source: rank and the words up to the last document taken."""
+    end = F.when(F.col(taken) > 0, F.col(ahead) + F.col(taken) * F.col("size")).otherwise(0)
+    return stage(rows.groupBy("rank").agg(F.max(end).alias(name)), name)
+
+
+def _fill(placed: DataFrame, most: int, small_table: Callable) -> DataFrame:
+    """Add ``first``, ``second`` and ``third``, the copies that fill the rest of a target as
+    large documents, as others and by size, and where each of the three starts
+    (``first_ahead``, ``second_ahead``, ``third_ahead``).
+
+    ``small_table`` marks a table with a row per source for a broadcast if that is bounded.
+    """
+    none = F.lit(0).cast("long")
+    n, size = F.col("n"), F.col("size")
+    open_ = F.col("passes") < most
+    large = size * LARGE_PART > F.col("rest")
+    first = _fitting(n, size, F.col("first_ahead"), F.col("rest"))
+    rows = placed.withColumn("first", F.when(open_ & large, first).otherwise(none))
+    filled = _filled(rows, "first_ahead", "first", "filled")
+    rows = rows.join(small_table(filled), "rank").withColumn("gap", F.col("rest") - F.col("filled"))
+    second = _fitting(n, size, F.col("second_ahead"), F.col("gap"))
+    rows = rows.withColumn("second", F.when(open_ & ~large, second).otherwise(none))
+    refilled = _filled(rows, "second_ahead", "second", "refilled")
+    rows = rows.join(small_table(refilled), "rank").withColumns(
+        {
+            "gap": F.col("gap") - F.col("refilled"),
+            "second_ahead": F.col("filled") + F.col("second_ahead"),
+            "filled": F.col("filled") + F.col("refilled"),
+            "left": n - F.col("first") - F.col("second"),
+        }
+    )
+    # Sizes that can close what is left: their sum is bounded by the gap, and that by one text.
+    can = open_ & (F.col("left") > 0) & (size > 0) & (size < 2 * F.col("gap"))
+    sizes = rows.where(can).groupBy("rank", "size").agg(
+        F.sum("left").alias("n_size"), F.first("gap").alias("gap")
+    )
+    smaller = Window.partitionBy("rank").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("n_size") * F.col("size")).over(smaller), F.lit(0))
+    sizes = sizes.withColumn("before", before)
+    n_closing = _closing(F.col("n_size"), F.col("size"), F.col("before"), F.col("gap"))
+    sizes = sizes.withColumn("n_closing", n_closing).where("n_closing > 0")
+    sizes = stage(sizes, "closing-sizes")
+    rows = lookup_join(rows, sizes.drop("gap"), ["rank", "size"], how="left")
+    whole = F.col("n_closing") == F.col("n_size")
+    clear = rows.where(F.coalesce(whole, F.lit(True))).withColumn(
+        "third", F.when(can & whole, F.col("left")).otherwise(0)
+    )
+    # One size per source is taken in part, in hash order.
+    border = _ahead(rows.where(~whole), {"equal_ahead": F.when(can, F.col("left")).otherwise(0)})
+    part = F.greatest(F.lit(0), F.least(F.col("left"), F.col("n_closing") - F.col("equal_ahead")))
+    border = border.withColumn("third", F.when(can, part).otherwise(0)).drop("equal_ahead")
+    return clear.unionByName(border).withColumns(
+        {"third": F.col("third").cast("long"), "third_ahead": F.col("filled") + F.col("before")}
     )
 
 
+def _each_copy(rows: DataFrame, repeated: bool) -> DataFrame:
+    """A row for each of ``n`` equal rows, numbered in ``turn``; many of them over many tasks."""
+    if not repeated:
+        return rows.withColumn("turn", F.lit(0).cast("long"))
+    last = F.col("n") - 1
+    single = rows.where("n = 1").withColumn("turn", F.lit(0).cast("long"))
+    start = F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(TOGETHER).cast("long")))
+    many = rows.where("n > 1").withColumn("start", start).repartition("row_hash", "start")
+    turns = F.sequence("start", F.least(last, F.col("start") + (TOGETHER - 1)))
+    return single.unionByName(many.withColumn("turn", F.explode(turns)).drop("start"))
+
+
 def mix(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -149,54 +251,59 @@ def mix(
     and ``positions``, the training position of each copy."""
     body = F.col(f"`{text}`")
     identity = F.col(f"`{doc_id}`")
-    sized = stage(
-        docs.select(
-            identity.alias("id"),
-            F.col(f"`{source}`").alias("source"),
-            _row_hash(docs).alias("row_hash"),
-            n_words(body).alias("size"),
-        ),
-        "sizes",
-    )
-    sources = stage(source_targets(sized, weights, most, schedules), "sources")
+    # Rows of one id and rows without an id are told apart by their texts.
+    draw = F.md5(
+        F.concat(F.coalesce(identity.cast("string"), F.lit("")), F.lit(":"), F.coalesce(body, F.lit("")))
+    )
+    sized = docs.select(
+        identity.alias("id"),
+        F.col(f"`{source}`").alias("source"),
+        row_hash(docs).alias("row_hash"),
+        draw.alias("draw"),
+        n_words(body).alias("size"),
+    )
+    # Equal rows are one row with a count until the end.
+    sized = sized.groupBy(*sized.columns).agg(F.count("*").alias("n"))
+    sized = stage(sized, "sizes")
+    words = sized.select("source", (F.col("size") * F.col("n")).alias("size"))
+    sources = stage(source_targets(words, weights, most, schedules), "sources")
     chars = sources.agg(F.sum(F.coalesce(F.length("source"), F.lit(0)) + 100)).first()[0] or 0
-    side = F.broadcast(sources) if chars <= BROADCAST_CHARS else sources
+    small = F.broadcast if chars <= BROADCAST_CHARS else lambda table: table
     same = F.col("d.source").eqNullSafe(F.col("s.source"))
-    rows = sized.alias("d").join(side.alias("s"), same).select(
-        "d.id", "d.row_hash", "d.size", "s.rank", "s.n_docs", "s.source_size", "s.target", "s.segments"
+    rows = sized.alias("d").join(small(sources).alias("s"), same).select(
+        "d.id", "d.row_hash", "d.draw", "d.size", "d.n", "s.rank", "s.n_docs", "s.source_size", "s.target"
     )
-    draw = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    place = F.conv(F.substring(draw, 1, 8), 16, 10).cast("long")
+    place = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
     buckets = F.ceil(F.sqrt("n_docs")).cast("long")
-    rows = rows.withColumn("draw", draw).withColumn("bucket", F.shiftright(place * buckets, 32))
-    sums = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(
-        "rank", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset")
-    )
-    order = ("draw", "id", "size", "row_hash")
-    inside = (
-        Window.partitionBy("rank", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = rows.join(offsets, ["rank", "bucket"]).withColumn(
-        "ahead", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    )
+    rows = rows.withColumn("bucket", F.shiftright(place * buckets, 32)).drop("n_docs")
     passes = F.when(
         F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))
     ).otherwise(0)
-    placed = placed.withColumn("passes", passes)
+    rows = rows.withColumn("passes", passes)
     rest = F.col("target") - F.col("passes") * F.col("source_size")
-    fits = (F.col("passes") < most) & (F.col("ahead") + F.col("size") <= rest)
-    placed = stage(placed.withColumns({"rest": rest, "fits": fits}), "placed")
-    few_sources = chars <= BROADCAST_CHARS
-    last = _closing_documents(placed, most, few_sources)
-    last = F.broadcast(last) if few_sources else last
-    placed = placed.join(last, "rank", "left")
-    closes = F.coalesce((F.col("size") > 0) & (F.col("ahead") == F.col("closing_ahead")), F.lit(False))
-    # The document that closes the gap comes after those that fit.
-    placed = placed.withColumn(
-        "copies", (F.col("passes") + (F.col("fits") | closes).cast("long")).cast("long")
-    ).withColumn("extra_ahead", F.when(closes, F.col("filled")).otherwise(F.col("ahead")))
+    large = F.col("size") * LARGE_PART > F.col("rest")
+    words = F.col("size") * F.col("n")
+    placed = _ahead(
+        rows.withColumn("rest", rest), {"ahead": words, "first_ahead": F.when(large, words).otherwise(0)}
+    )
+    placed = stage(placed.withColumn("second_ahead", F.col("ahead") - F.col("first_ahead")), "placed")
+    filled = _fill(placed, most, small).join(small(sources.select("rank", "segments")), "rank")
+
+    turn = F.col("turn")
+    again = turn - F.col("first")
+    extra = F.col("first") + F.col("second") + F.col("third")
+    extra_ahead = (
+        F.when(again < 0, F.col("first_ahead") + turn * F.col("size"))
+        .when(again < F.col("second"), F.col("second_ahead") + again * F.col("size"))
+        .otherwise(F.col("third_ahead"))
+    )
+    each = _each_copy(filled, not sized.where("n > 1").isEmpty()).withColumns(
+        {
+            "copies": (F.col("passes") + (turn < extra).cast("long")).cast("long"),
+            "extra_ahead": extra_ahead,
+            "ahead": F.col("ahead") + turn * F.col("size"),
+        }
+    )
     no_copies = F.array().cast("array<double>")
 
     def of_copy(i: Column) -> Column:
@@ -208,7 +315,7 @@ def mix(
     positions = F.when(
         F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), of_copy)
     ).otherwise(no_copies)
-    return placed.select(
+    return each.select(
         "id",
         "row_hash",
         "size",
@@ -229,11 +336,11 @@ def training_order(
         "id", "row_hash", F.explode("positions").alias("copy_position")
     )
     copies = stage(copies, "copies")
-    rows = docs.drop("copy_position").withColumn("__row_hash", _row_hash(docs))
+    rows = docs.drop("copy_position").withColumn("__row_hash", row_hash(docs))
     # Equal rows: the copies of all of them are among ``copies``, so one row is enough.
     keys = rows.groupBy(F.col(f"`{doc_id}`"), "__row_hash").count().where("count > 1")
     if not keys.isEmpty():
-        rows = rows.dropDuplicates()
+        rows = rows.dropDuplicates([doc_id, "__row_hash"])
     same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("c.id")) & (
         F.col("d.__row_hash") == F.col("c.row_hash")
     )

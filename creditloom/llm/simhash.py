@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditloom.llm.graph import connected_components
+from creditloom.llm.rows import row_hash
 from creditloom.llm.words import split_words, text_slices
 from creditloom.staging import stage
 
@@ -211,8 +212,7 @@ def keep_one(
     The row with the smallest id stays (rows without an id come last), among rows of one
     id the one whose content has the smallest hash; of equal rows one.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    content = F.xxhash64(*columns)
+    content = row_hash(docs)
     slim = docs.select(
         F.col(f"`{doc_id}`").alias("id"), content.alias("content"), F.col(f"`{text}`").alias("text")
     )
@@ -231,7 +231,6 @@ def keep_one(
             & (F.col("d.__content") == F.col("k.content")),
             "left_semi",
         )
-        .drop("__content")
     )
     twice = found.groupBy("id", "content").count().where("count > 1")
     keeper_twice = twice.join(
@@ -239,4 +238,6 @@ def keep_one(
         twice["id"].eqNullSafe(F.col("k.id")) & (twice["content"] == F.col("k.content")),
         "left_semi",
     )
-    return kept if keeper_twice.isEmpty() else kept.dropDuplicates()
+    if not keeper_twice.isEmpty():
+        kept = kept.dropDuplicates([doc_id, "__content"])
+    return kept.drop("__content")

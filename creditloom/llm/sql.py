@@ -70,7 +70,7 @@ FROM judged
 
 OP10 = r"""
 WITH d AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS draw,
          CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size
   FROM documents),
 s AS (
@@ -90,24 +90,38 @@ l AS (SELECT *, CAST(words - full_words AS DOUBLE) / CAST(open_weight AS DOUBLE)
 f AS (SELECT arg_min(level, turn) AS level FROM l WHERE level * weight <= bound),
 t AS (SELECT l.*, least(CAST(bound AS DOUBLE), f.level * weight) AS target FROM l, f),
 p AS (
-  SELECT rk, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS draw, doc_id, size, source_size, target, CAST(tilt AS DOUBLE) AS tilt,
-         coalesce(sum(size) OVER (PARTITION BY rk ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, size
-                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead,
+  SELECT rk, draw, doc_id, size, source_size, target, CAST(tilt AS DOUBLE) AS tilt,
          CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (
-  SELECT *, target - passes * source_size AS rest,
-         passes < 3 AND ahead + size <= target - passes * source_size AS fits FROM p),
-g AS (SELECT rk, max(CASE WHEN fits THEN ahead + size ELSE 0 END) AS filled, max(rest) AS whole FROM q GROUP BY rk),
-x AS (
-  SELECT q.rk AS rk, q.ahead AS closing_ahead, g.filled AS filled FROM q JOIN g ON q.rk = g.rk
-  WHERE NOT fits AND passes < 3 AND whole - filled > 0 AND abs(size - (whole - filled)) < whole - filled
-  QUALIFY row_number() OVER (PARTITION BY q.rk ORDER BY abs(size - (whole - filled)), draw, ahead) = 1),
+  SELECT *, target - passes * source_size AS rest, size * 16 > target - passes * source_size AS big FROM p),
+q1 AS (
+  SELECT *, coalesce(sum(size) OVER o, 0) AS ahead,
+         coalesce(sum(CASE WHEN big THEN size ELSE 0 END) OVER o, 0) AS ahead1,
+         coalesce(sum(CASE WHEN big THEN 0 ELSE size END) OVER o, 0) AS ahead2
+  FROM q WINDOW o AS (PARTITION BY rk ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+q2 AS (SELECT *, passes < 3 AND big AND ahead1 + size <= rest AS fits FROM q1),
+q3 AS (
+  SELECT *, max(CASE WHEN fits THEN ahead1 + size ELSE 0 END) OVER (PARTITION BY rk) AS filled1 FROM q2),
+q4 AS (
+  SELECT *, rest - filled1 AS gap1, passes < 3 AND NOT big AND ahead2 + size <= rest - filled1 AS refits FROM q3),
+q5 AS (
+  SELECT *, max(CASE WHEN refits THEN ahead2 + size ELSE 0 END) OVER (PARTITION BY rk) AS filled2,
+         NOT fits AND NOT refits AND passes < 3 AND size > 0 AS unused FROM q4),
+q6 AS (
+  SELECT *, gap1 - filled2 AS gap2,
+         coalesce(sum(CASE WHEN unused THEN size ELSE 0 END) OVER (PARTITION BY rk ORDER BY size, draw, doc_id
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead3 FROM q5),
+q7 AS (
+  SELECT *, unused AND 2 * (gap2 - ahead3) > size AS closes,
+         filled1 + filled2 + min(CASE WHEN unused THEN ahead3 END) OVER (PARTITION BY rk, size) AS place3 FROM q6),
 c AS (
-  SELECT q.*, CAST(passes + CASE WHEN fits OR coalesce(size > 0 AND ahead = closing_ahead, false) THEN 1 ELSE 0 END AS BIGINT) AS copies,
-         CASE WHEN target > 0 THEN least(CASE WHEN passes = 0 AND coalesce(size > 0 AND ahead = closing_ahead, false)
-                                              THEN filled ELSE ahead END / target, 1.0) ELSE 0 END AS share
-  FROM q LEFT JOIN x ON q.rk = x.rk)
+  SELECT *, CAST(passes + CASE WHEN fits OR refits OR closes THEN 1 ELSE 0 END AS BIGINT) AS copies,
+         CASE WHEN target > 0 THEN least(CASE WHEN passes = 0 AND closes THEN place3
+                                              WHEN passes = 0 AND refits THEN filled1 + ahead2
+                                              WHEN passes = 0 AND fits THEN ahead1
+                                              ELSE ahead END / target, 1.0) ELSE 0 END AS share
+  FROM q7)
 SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken, copies,
        CASE WHEN copies > 0 THEN
          round(CASE WHEN (1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 2 * (2 * tilt) * share) > 0

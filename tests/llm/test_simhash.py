@@ -109,3 +109,11 @@ def test_group_without_ids(frame):
 def test_empty_table(frame):
     assert simhash.near_duplicates(frame([])).collect() == []
     assert simhash.keep_one(frame([])).collect() == []
+
+
+def test_keep_one_with_a_map_column(spark):
+    rows = [(i % 2, "a b c d e f g", {"k": 1}) for i in range(4)] + [(5, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 5]
