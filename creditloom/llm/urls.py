@@ -6,12 +6,13 @@ of one length the one with the longer host, then the smaller text); without one
 verdict stands.
 
 The host's labels are reversed, so that a rule's host and path become a prefix of a key and
-the rule an interval of keys. A url has one key for each domain above its host. Keys are cut
+the rule an interval of keys. A url has one key for each domain that holds its host and has no
+more labels than the longest rule. Keys are cut
 into ranges by a sample; a rule goes to every range that its interval meets. In each range
 urls and rules are swept in the order of their keys with a stack of the rules that are
 still open. Equal keys may fill several ranges: rows are then dealt among them.
 
-A null url, or one without ``://``, has an empty host and path. Rows without an id are
+Ids are whole numbers. A null url, or one without ``://``, has an empty host and path. Rows without an id are
 judged like others; repeated rows are judged once each. An empty table of rules leaves the
 default.
 """
@@ -54,9 +55,12 @@ def domain_key(labels: list[str], path: str) -> bytes:
     return ".".join(reversed(labels)).encode() + b"\x00" + path.encode()
 
 
-def url_keys(host: str, path: str) -> list[bytes]:
-    """Keys of the host and the domains above it, the host's own first."""
-    labels = host.split(".")
+def url_keys(host: str, path: str, most: int) -> list[bytes]:
+    """Keys of the domains with up to ``most`` labels that hold the host, the longest first.
+
+    No rule has more labels, so the last ``most`` stand for a longer host.
+    """
+    labels = host.rsplit(".", most)[-most:]
     return [domain_key(labels[i:], path) for i in range(len(labels))]
 
 
@@ -71,13 +75,13 @@ def _bucket(key: bytes, spread: bytes, cuts: list[bytes]) -> int:
     return low + (crc32(spread) % (high - low + 1) if high > low else 0)
 
 
-def _keyed_urls(cuts: list[bytes]) -> Callable:
+def _keyed_urls(cuts: list[bytes], most: int) -> Callable:
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out: list[tuple] = []
             for i, host, path in zip(*(part.column(c).to_pylist() for c in ("id", "host", "path")), strict=True):
                 spread = f"{i} {host} {path}".encode()
-                for n, key in enumerate(url_keys(host, path)):
+                for n, key in enumerate(url_keys(host, path, most)):
                     out.append((_bucket(key, spread, cuts), key, 1, i, host, path, n == 0, None, None))
             yield _batch(out)
 
@@ -140,12 +144,12 @@ def _sweep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, SWEPT_ARROW)
 
 
-def _cuts(urls: DataFrame, ranges: int) -> list[bytes]:
+def _cuts(urls: DataFrame, ranges: int, most: int) -> list[bytes]:
     n = urls.count()
     wanted = SAMPLED * ranges
     some = urls if n <= wanted else urls.sample(fraction=min(1.0, 1.2 * wanted / n), seed=11)
     keys = sorted(
-        key for r in some.select("host", "path").limit(2 * wanted).collect() for key in url_keys(r[0], r[1])
+        key for r in some.select("host", "path").limit(2 * wanted).collect() for key in url_keys(r[0], r[1], most)
     )
     return [keys[i * len(keys) // ranges] for i in range(1, ranges)] if keys else []
 
@@ -168,9 +172,11 @@ def judge_urls(
         F.coalesce(path_of(body), F.lit("")).alias("path"),
     )
     partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cuts(urls, RANGES_PER_PARTITION * partitions)
     clean = rules.select("rule", "verdict").where("rule IS NOT NULL").distinct()
-    keyed = urls.mapInArrow(_keyed_urls(cuts), KEYED).union(clean.mapInArrow(_keyed_rules(cuts), KEYED))
+    labels = F.size(F.split(F.substring_index("rule", "/", 1), r"\."))
+    most = clean.agg(F.max(labels)).first()[0] or 1
+    cuts = _cuts(urls, RANGES_PER_PARTITION * partitions, most)
+    keyed = urls.mapInArrow(_keyed_urls(cuts, most), KEYED).union(clean.mapInArrow(_keyed_rules(cuts), KEYED))
     swept = (
         keyed.repartition(partitions, "bucket")
         .sortWithinPartitions("bucket", "key", "kind", F.col("rule").desc())

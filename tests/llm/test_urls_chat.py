@@ -56,6 +56,23 @@ def test_no_rules_and_no_pages(spark):
     assert urls.judge_urls(pages.limit(0), rules).collect() == []
 
 
+def test_very_long_urls_and_other_columns(spark):
+    """A host has as many keys as the longest rule has labels, however long it is."""
+    assert len(urls.url_keys("x." * 100_000 + "a.net", "/", 3)) == 3
+    hosts = ["x." * 100_000 + "a.net", "x." * 100_000 + "b.org", "a.net", "net", "q" * 300_000]
+    rows = [(i, f"http://{h}/{'p/' * 50_000}", "k", "r") for i, h in enumerate(hosts)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, key string, rule string")
+    rules = spark.createDataFrame([("a.net/p/", "block"), ("org/", "block"), ("net/", "allow")], "rule string, verdict string")
+    found = urls.judge_urls(pages, rules)
+    assert sorted((r["id"], r["rule"], r["verdict"]) for r in found.select("id", "rule", "verdict").collect()) == [
+        (0, "a.net/p/", "block"),
+        (1, "org/", "block"),
+        (2, "a.net/p/", "block"),
+        (3, "net/", "allow"),
+        (4, None, "allow"),
+    ]
+
+
 def test_parts_attachments_and_loss(spark):
     part = lambda kind, **v: {"kind": kind, **v}
     rows = [
