@@ -523,3 +523,26 @@ def test_default_row_numbers_do_not_depend_on_the_layout(separable):
 
     twice = separable.union(separable.limit(50))
     assert drops(twice.repartition(1)) == drops(twice.repartition(17))
+
+
+def test_forest_in_groups_of_trees_and_passes(separable, forest, monkeypatch):
+    """Neither the trees that are grown at a time nor the blocks of a pass change a forest."""
+    from creditloom.operators import forest as module
+
+    whole = models.train_rf(separable, NAMES, trees=6)
+    groups, finished = [], module._finished
+
+    def noted(data, trees, *rest):
+        groups.append(list(trees))
+        return finished(data, trees, *rest)
+
+    monkeypatch.setattr(module, "_finished", noted)
+    monkeypatch.setattr(module, "GROUP_ROWS", 2 * whole.train.distinct().count())
+    monkeypatch.setattr(module, "BLOCK_NODES", 50)
+    monkeypatch.setattr(module, "PASS_BLOCKS", 2)
+    parts = models.train_rf(separable, NAMES, trees=6)
+    assert sum(groups, []) == list(range(6)) and max(map(len, groups)) < 6
+    assert trees_of(parts.forest) == trees_of(whole.forest)
+    assert len(list(parts.forest.blocks())) > 4
+    order = ["Company Code", "Year"]
+    assert parts.holdout.orderBy(order).collect() == whole.holdout.orderBy(order).collect()

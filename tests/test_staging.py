@@ -1,3 +1,4 @@
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -53,3 +54,21 @@ def test_staged_tables_can_be_removed(spark, monkeypatch, tmp_path):
     assert list(tmp_path.rglob("part-*"))
     staging.remove_staged(spark)
     assert not list(tmp_path.rglob("part-*"))
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    jvm = spark.sparkContext._jvm.org.apache.spark
+
+    def shuffled():
+        files = jvm.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = [files.apply(i).getName() for i in range(files.size())]
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    before = shuffled()
+    kept = staging.stage(spark.range(10_000).repartition(4, "id"), "kept")
+    for _ in range(100):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before
+    assert kept.count() == 10_000
