@@ -546,3 +546,25 @@ def test_forest_in_groups_of_trees_and_passes(separable, forest, monkeypatch):
     assert len(list(parts.forest.blocks())) > 4
     order = ["Company Code", "Year"]
     assert parts.holdout.orderBy(order).collect() == whole.holdout.orderBy(order).collect()
+
+
+def test_peers_are_found_in_rounds(spark, monkeypatch):
+    """A round moves about as many points as it may, and the rounds do not change the peers."""
+    from creditloom.operators import neighbours
+
+    rng = random.Random(5)
+    data = [(i, 2010, *[round(rng.gauss(0, 1), 2) for _ in range(3)]) for i in range(400)]
+    schema = "`Company Code` long, `Year` int, ROA double, ROE double, `Quick Ratio` double"
+    df = spark.createDataFrame(data, schema)
+    sizes, lists = [], neighbours._lists
+
+    def noted(rows, k):
+        sizes.append(rows.where("turn > 0").count())
+        return lists(rows, k)
+
+    monkeypatch.setattr(neighbours, "_lists", noted)
+    monkeypatch.setattr(neighbours, "ROUND_ROWS", 1)
+    monkeypatch.setattr(neighbours, "TARGETS_PER_TASK", 3)
+    found = peers.all_peers(df, ["ROA", "ROE", "Quick Ratio"], n=4, block_points=20)
+    assert sorted((*r[:5], round(r[5], 6)) for r in found.collect()) == plain_peers(data, 4)
+    assert len(sizes) > 1 and max(sizes) <= (neighbours.ROUND_SHARE + 1) * len(data)
