@@ -13,10 +13,16 @@ from pyspark.sql.types import StructType
 from creditloom.functions.columns import col
 from creditloom.operators.joins import lookup_join
 from creditloom.sources.panel_io import write_panel
-from creditloom.staging import files_state, staging_path
+from creditloom.staging import files_state, settings, shuffles_removed, staging_path
 
 SOURCES = ("customer", "lineitem", "orders", "part")
 
+#: A task sums the orders that it meets in wide decimals, so it is given few lines: bytes that
+#: a task scans or takes from a shuffle, and lines per shuffle partition.
+SCAN_BYTES = "8m"
+SHUFFLE_BYTES = "16m"
+TASK_LINES = 500_000
+
 _tables: dict[tuple, tuple[str, StructType]] = {}
 
 
@@ -120,12 +126,24 @@ def panel_key(spark: SparkSession, sf_dir: str) -> tuple:
     return (spark.sparkContext.applicationId, sf_dir, *state)
 
 
+def small_tasks(spark: SparkSession, lines: int) -> dict[str, str]:
+    """Settings under which the work on one task does not grow with the number of lines."""
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), lines // TASK_LINES)
+    return {
+        "spark.sql.files.maxPartitionBytes": SCAN_BYTES,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": SHUFFLE_BYTES,
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
+
+
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = panel_key(spark, sf_dir)
     if key not in _tables:
-        rows = build_panel(spark, sf_dir)
         path = staging_path(spark, "panel")
-        write_panel(rows, path, partition_by=["Year"])
+        tasks = small_tasks(spark, table(spark, sf_dir, "lineitem").count())
+        with settings(spark, tasks), shuffles_removed(spark):
+            rows = build_panel(spark, sf_dir)
+            write_panel(rows, path, partition_by=["Year"])
         _tables[key] = (path, rows.schema)
     path, schema = _tables[key]
     return spark.read.schema(schema).parquet(path).select(*[col(name) for name in schema.names])

@@ -204,3 +204,41 @@ def test_rows_stay_on_the_cluster():
         assert "localCheckpoint" not in text
         assert "crossJoin" not in text
     assert found == allowed
+
+
+def test_panel_is_built_in_small_tasks(spark, monkeypatch, tmp_path):
+    from creditloom.plans import panel as module
+
+    folder = str(tmp_path)
+    ids = spark.range(300)
+    tables = {
+        "customer": ids.selectExpr("id AS c_custkey", "100.0D * id AS c_acctbal"),
+        "part": ids.selectExpr("id AS p_partkey", "10.0D AS p_retailprice"),
+        "orders": ids.selectExpr(
+            "id AS o_orderkey", "id % 50 AS o_custkey",
+            "CAST('1995-06-01' AS TIMESTAMP) AS o_orderdate",
+        ),
+        "lineitem": spark.range(900).selectExpr(
+            "id % 300 AS l_orderkey", "id % 300 AS l_partkey", "'R' AS l_returnflag",
+            "'O' AS l_linestatus", "5.0D * id AS l_extendedprice", "0.1D AS l_discount",
+            "0.05D AS l_tax", "2.0D AS l_quantity",
+        ),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{name}.parquet")
+
+    names = list(module.small_tasks(spark, 0))
+    before = {name: spark.conf.get(name) for name in names}
+    during, build = {}, module.build_panel
+
+    def noted(*args):
+        during.update({name: spark.conf.get(name) for name in names})
+        return build(*args)
+
+    monkeypatch.setattr(module, "build_panel", noted)
+    monkeypatch.setattr(module, "TASK_LINES", 10)
+    monkeypatch.setattr(module, "_tables", {})
+    assert module.panel(spark, folder).count() == 50
+    assert during["spark.sql.shuffle.partitions"] == "90"
+    assert during["spark.sql.files.maxPartitionBytes"] == module.SCAN_BYTES
+    assert {name: spark.conf.get(name) for name in names} == before
