@@ -162,11 +162,17 @@ def _segment_of(inside: set[int], max_bits: int) -> range:
     return next(part for part in _segments(max_bits) if inside & set(part))
 
 
-def links(nodes: DataFrame, max_bits: int = 2, compared: int = COMPARED) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints whose components are those of all links."""
+def _shared_signatures(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Rows of the index whose signature others have too, with the number ``n`` of these."""
     index = _index(nodes, max_bits)
     sizes = index.groupBy("tag", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stage(index.join(sizes, ["tag", "key"]), "signatures")
+    # Spark takes the index to be no larger than ``nodes`` and would broadcast it.
+    return index.hint("merge").join(sizes, ["tag", "key"])
+
+
+def links(nodes: DataFrame, max_bits: int = 2, compared: int = COMPARED) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints whose components are those of all links."""
+    shared = stage(_shared_signatures(nodes, max_bits), "signatures")
     small = (
         shared.where(F.col("n") <= compared)
         .groupBy("tag", "key")

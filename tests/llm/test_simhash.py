@@ -117,3 +117,23 @@ def test_keep_one_with_a_map_column(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 5]
+
+
+def staged_plans(monkeypatch):
+    """Plans of what simhash stages, by name."""
+    plans, stage = {}, simhash.stage
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(simhash, "stage", noted)
+    return plans
+
+
+def test_index_of_signatures_is_not_broadcast(spark, monkeypatch):
+    # The index has 34 rows a fingerprint, but Spark takes it to be as small as these.
+    plans = staged_plans(monkeypatch)
+    nodes = spark.range(1000).select(simhash.F.xxhash64("id").alias("fingerprint"))
+    simhash.links(nodes).collect()
+    assert "SortMergeJoin" in plans["signatures"] and "Broadcast" not in plans["signatures"]
