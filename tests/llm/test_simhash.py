@@ -137,3 +137,10 @@ def test_index_of_signatures_is_not_broadcast(spark, monkeypatch):
     nodes = spark.range(1000).select(simhash.F.xxhash64("id").alias("fingerprint"))
     simhash.links(nodes).collect()
     assert "SortMergeJoin" in plans["signatures"] and "Broadcast" not in plans["signatures"]
+
+
+def test_keep_one_broadcasts_no_index(spark, monkeypatch):
+    plans = staged_plans(monkeypatch)
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', id, id * 7, id * 13, id * 29) AS text")
+    assert simhash.keep_one(docs, shingle=3, max_bits=2).count() == 300
+    assert "Broadcast" not in plans["signatures"]
