@@ -568,3 +568,34 @@ def test_peers_are_found_in_rounds(spark, monkeypatch):
     found = peers.all_peers(df, ["ROA", "ROE", "Quick Ratio"], n=4, block_points=20)
     assert sorted((*r[:5], round(r[5], 6)) for r in found.collect()) == plain_peers(data, 4)
     assert len(sizes) > 1 and max(sizes) <= (neighbours.ROUND_SHARE + 1) * len(data)
+
+
+def test_histograms_travel_as_one_value(separable, monkeypatch):
+    """A task sends a value for each open node, whatever the number of cells in it."""
+    from creditloom.operators import forest as module
+
+    moved, chosen = [], module._chosen
+
+    def noted(found, *rest):
+        moved.append((found.count(), found.select("tree", "node").distinct().count()))
+        return chosen(found, *rest)
+
+    monkeypatch.setattr(module, "_chosen", noted)
+    models.train_rf(separable, NAMES, trees=3, finish=100)
+    cores = separable.sparkSession.sparkContext.defaultParallelism
+    assert len(moved) > 2 and all(n <= 2 * cores * nodes for n, nodes in moved)
+
+
+def test_histogram_sums_of_many_draws():
+    from creditloom.operators.forest import CUTS, FIELD, _Sums
+
+    rng = np.random.default_rng(3)
+    expected, sums = np.zeros((2, CUTS + 1, 3)), _Sums(2, 1)
+    for most in (3, 3, 1 << FIELD, 40_000, 40_000):
+        cell, label = rng.integers(0, 2 * (CUTS + 1), 50), rng.integers(0, 2, 50)
+        weight = rng.integers(1, most, 50)
+        count = np.minimum(weight, 2)
+        sums.add(cell, label, weight, count)
+        for i, v in enumerate((weight * label, weight, count)):
+            expected[:, :, i] += np.bincount(cell, v, 2 * (CUTS + 1)).reshape(2, -1)
+    assert (sums.of_nodes()[:, 0] == expected).all()
