@@ -28,8 +28,11 @@ CELLS = 2_000_000
 # Copies of one row that are made in one go.
 COPIES = 10_000
 TABLE_TESTS = 6
-# Numbers in the tables of a block of leaves.
+# Numbers in the tables of a block of leaves, and cells of a table.
 TABLE_CELLS = 16_000_000
+RUN_CELLS = 256
+# Rows that are attributed together.
+STEP_ROWS = 10_000
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -369,32 +372,67 @@ def _leaf_effects(rows: np.ndarray, leaves: _Leaves) -> np.ndarray:
     return leaves.table[np.arange(len(leaves.value)), pattern]
 
 
+def _table_groups(bounds: np.ndarray, cells: int) -> list[tuple[slice, list[np.ndarray]]]:
+    """Runs of leaves with the cuts per feature that bound them; a run goes on as long as its
+    cuts part the values of all features into at most ``cells`` cells. ``bounds`` (leaves x
+    features x 2) are the ends of the intervals."""
+    found, start, held = [], 0, None
+    for i, own in enumerate(bounds.tolist()):
+        ends = [{v for v in pair if math.isfinite(v)} for pair in own]
+        both = ends if held is None else [h | e for h, e in zip(held, ends)]
+        if held is not None and math.prod(len(c) + 1 for c in both) > cells:
+            found.append((slice(start, i), held))
+            start, both = i, ends
+        held = both
+    if held is not None:
+        found.append((slice(start, len(bounds)), held))
+    return [(run, [np.array(sorted(c)) for c in cuts]) for run, cuts in found]
+
+
 @dataclass
 class _TreeTable:
-    """Leaves of one tree (those of them in a block) over few features.
+    """Leaves of one tree (those of them in a block) over few features, in runs.
 
-    ``passes`` has per feature a bit for each leaf at each place among the ``cuts``, so a
-    row's pattern of passed tests is a sum of five or six rows of bytes. ``effects`` has the
-    attributions of each leaf for each pattern.
+    The ``cuts`` of a feature part its values; ``places`` has per feature, for each part, what
+    it adds to the number of a run's cell. ``tables`` has for each run the attributions of all
+    of its leaves together in each cell.
     """
 
     cuts: list[np.ndarray]
-    passes: list[np.ndarray]
-    effects: np.ndarray
-
-    def attribute(self, x: np.ndarray) -> np.ndarray:
-        leaves, width = self.passes[0].shape[1], len(self.cuts)
-        first = np.arange(leaves) << width
-        out = np.empty(x.shape)
-        step = max(1, CELLS // (leaves * width))
-        for start in range(0, len(x), step):
-            rows = x[start : start + step]
-            pattern = np.zeros((len(rows), leaves), dtype=np.uint8)
-            for f, cuts in enumerate(self.cuts):
-                pattern += self.passes[f].take(np.searchsorted(cuts, rows[:, f]), axis=0)
-            found = self.effects.take((first + pattern).ravel(), axis=0)
-            out[start : start + step] = found.reshape(len(rows), leaves, width).sum(axis=1)
-        return out
+    places: list[np.ndarray]
+    tables: list[np.ndarray]
+
+    def add_to(self, out: np.ndarray, x: np.ndarray) -> None:
+        """``x`` has a row per feature."""
+        parts = [np.searchsorted(cuts, x[f]) for f, cuts in enumerate(self.cuts)]
+        for i, table in enumerate(self.tables):
+            cell = self.places[0][i].take(parts[0])
+            for f in range(1, len(parts)):
+                cell += self.places[f][i].take(parts[f])
+            out += table.take(cell, axis=0)
+
+
+def _tree_table(low: np.ndarray, high: np.ndarray, tested: np.ndarray, effects: np.ndarray) -> _TreeTable:
+    width = low.shape[1]
+    runs = _table_groups(np.stack([low, high], axis=2), RUN_CELLS)
+    cuts = [np.unique(np.concatenate([own[f] for _, own in runs])) for f in range(width)]
+    places, tables = [np.empty((len(runs), len(c) + 1), dtype=np.int64) for c in cuts], []
+    for i, (run, own) in enumerate(runs):
+        shape = [len(c) + 1 for c in own]
+        pattern = np.zeros((run.stop - run.start, 1), dtype=np.int64)
+        for f in range(width):
+            stride = math.prod(shape[f + 1 :])
+            # Part k of a feature has the values above cut k - 1 and up to cut k.
+            places[f][i] = np.searchsorted(own[f], np.append(cuts[f], np.inf)) * stride
+            above = np.append(-np.inf, own[f]) >= low[run, f, None]
+            upto = np.append(own[f], np.inf) <= high[run, f, None]
+            passes = np.where(above & upto | ~tested[run, f, None], 1 << f, 0)
+            pattern = (pattern[:, :, None] + passes[:, None, :]).reshape(len(pattern), -1)
+        table = np.zeros((pattern.shape[1], width))
+        for leaf, cells in zip(effects[run], pattern):
+            table += leaf.take(cells, axis=0)
+        tables.append(table)
+    return _TreeTable(cuts, places, tables)
 
 
 class LeafTables:
@@ -415,30 +453,23 @@ class LeafTables:
         share, tested = np.ones((n, width)), np.zeros((n, width), dtype=bool)
         share[leaf, flat["feature"]], tested[leaf, flat["feature"]] = flat["share"], True
         value = block.column("value").to_numpy() / self.trees
-        # An untested feature always passes and has the share 1, so its effect is 0.
-        effects = _pattern_table(share, value)
         found = []
         tree = block.column("tree").to_numpy()
         order = np.argsort(tree, kind="stable")
         starts = np.flatnonzero(np.append(True, tree[order][1:] != tree[order][:-1])) if n else []
         for own in np.split(order, starts[1:]) if n else []:
-            cuts, passes = [], []
-            for f in range(width):
-                ends = np.concatenate([low[own, f], high[own, f]])
-                cut = np.unique(ends[np.isfinite(ends)])
-                place = np.arange(len(cut) + 1)[:, None]
-                from_ = np.where(np.isfinite(low[own, f]), np.searchsorted(cut, low[own, f]) + 1, 0)
-                to = np.searchsorted(cut, high[own, f])
-                inside = (place >= from_) & (place <= to)
-                cuts.append(cut)
-                passes.append(np.where(tested[own, f] & ~inside, 0, 1 << f).astype(np.uint8))
-            found.append(_TreeTable(cuts, passes, effects[own].reshape(-1, width)))
+            # An untested feature always passes and has the share 1, so its effect is 0.
+            effects = _pattern_table(share[own], value[own])
+            found.append(_tree_table(low[own], high[own], tested[own], effects))
         return found
 
     def attribute(self, rows: np.ndarray) -> np.ndarray:
         out = np.zeros(rows.shape)
-        for table in self.tables:
-            out += table.attribute(rows)
+        for start in range(0, len(rows), STEP_ROWS):
+            piece = slice(start, start + STEP_ROWS)
+            x = np.ascontiguousarray(rows[piece].T)
+            for table in self.tables:
+                table.add_to(out[piece], x)
         return out
 
 

@@ -599,3 +599,25 @@ def test_histogram_sums_of_many_draws():
         for i, v in enumerate((weight * label, weight, count)):
             expected[:, :, i] += np.bincount(cell, v, 2 * (CUTS + 1)).reshape(2, -1)
     assert (sums.of_nodes()[:, 0] == expected).all()
+
+
+def test_leaves_share_tables():
+    """The attributions of neighbouring leaves come from one table, as from each leaf's own."""
+    from creditloom.operators.explain import _pattern_table, _tree_table
+
+    rng = np.random.default_rng(8)
+    leaves, width = 40, 4
+    ends = np.sort(rng.integers(0, 12, (leaves, width, 2)).astype(float), axis=2)
+    ends[:, :, 1] += 1
+    tested = rng.random((leaves, width)) < 0.7
+    low = np.where(tested & (rng.random((leaves, width)) < 0.7), ends[:, :, 0], -np.inf)
+    high = np.where(tested, ends[:, :, 1], np.inf)
+    effects = _pattern_table(np.where(tested, rng.random((leaves, width)), 1.0), rng.random(leaves))
+    x = rng.integers(-1, 15, (200, width)).astype(float)
+    inside = (x[:, None] > low) & (x[:, None] <= high) | ~tested
+    patterns = (inside * (1 << np.arange(width))).sum(axis=2)
+    expected = effects[np.arange(leaves), patterns].sum(axis=1)
+    table, found = _tree_table(low, high, tested, effects), np.zeros(x.shape)
+    table.add_to(found, np.ascontiguousarray(x.T))
+    assert np.allclose(found, expected)
+    assert len(table.tables) < leaves
