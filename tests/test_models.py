@@ -621,3 +621,17 @@ def test_leaves_share_tables():
     table.add_to(found, np.ascontiguousarray(x.T))
     assert np.allclose(found, expected)
     assert len(table.tables) < leaves
+
+
+def test_visits_by_masks_are_those_of_the_walk(forest):
+    from creditloom.operators.forest import TreeBlock, matrix
+
+    table = forest.forest.nodes.toArrow()
+    by_masks, walked = TreeBlock(table), TreeBlock(table)
+    walked.masks = None
+    assert by_masks.masks
+    x = matrix(forest.holdout.select(forest.vector(forest.holdout).alias("x")).toArrow()).copy()
+    ends = by_masks.threshold[~by_masks.leaf]
+    x[:20] = np.resize(ends, (20, x.shape[1]))
+    for f in range(x.shape[1]):
+        assert (by_masks.visits(x, f) == walked.visits(x, f)).all()
