@@ -635,3 +635,21 @@ def test_visits_by_masks_are_those_of_the_walk(forest):
     x[:20] = np.resize(ends, (20, x.shape[1]))
     for f in range(x.shape[1]):
         assert (by_masks.visits(x, f) == walked.visits(x, f)).all()
+
+
+def test_a_far_point_does_not_widen_the_search_of_its_block():
+    from creditloom.operators.neighbours import _Boxes, _pairs_within
+
+    rows = [{"block": 7 + i, "n": 50, "reach": 30.0, "low0": 10.0 * i, "high0": 10.0 * i + 9} for i in range(6)]
+    boxes = _Boxes(rows, 1)
+    assert len(boxes.targets(0, 3)[0]) == 4
+    x, reach = np.array([[0.0], [5.0], [8.5]]), np.array([1.0, 1.0, 2.0])
+    assert boxes.needed(7, x, reach, 3)[0].tolist() == [0, 1]
+    assert boxes.needed(7, x, np.array([30.0, 1.0, 1.0]), 3)[0].tolist() == [0, 1, 2, 3]
+
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(0, 1, (30, 3)) + 1e6, rng.normal(0, 1, (40, 3)) + 1e6
+    every = np.round(np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)), 9)
+    bound = np.sort(every, axis=1)[:, 4]
+    i, j, distance = _pairs_within(a, b, bound)
+    assert len(i) == 150 and np.allclose(distance, every[i, j], atol=1e-8)
